@@ -3,11 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from legflow.llm import nearest, tokenize
+from legflow.llm import garble, leaks, linkage, nearest, tokenize
 from legflow.tables import table
 
 
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.link([(t, table(spark, sf_dir, t).withColumnRenamed("bpuic", "key")) for t in ("dim_ch", "dim_de", "dim_at")])
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _links(spark, sf_dir).select(F.least("key_a", "key_b").alias("bpuic_a"), F.greatest("key_a", "key_b").alias("bpuic_b")).distinct()
+
+
+def p2_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _links(spark, sf_dir)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.runs_with_trips(table(spark, sf_dir, "at_runs"), table(spark, sf_dir, "at_trips"))
 
@@ -16,7 +29,23 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p8_ids)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garble.affected(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garble.restored(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_confidence, p7_found, p8_ids, p9_found, p9_shares, p10_found, p10_restored)}
 
 SQL: dict[str, str] = {
     "p7_found": """
