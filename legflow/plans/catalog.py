@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from legflow.plans import problems
+from legflow.plans import leg_queries, problems
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {**problems.QUERIES, **leg_queries.QUERIES}
+SQL = {**problems.SQL, **leg_queries.SQL}
