@@ -126,9 +126,9 @@ def stg02_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jn07_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trains whose places of a day are all places of another train."""
-    sig = table(spark, sf_dir, "gb_sched").filter("rid IS NOT NULL AND tpl IS NOT NULL AND ssd IS NOT NULL").select("ssd", "tpl", F.col("rid").alias("id")).distinct()
-    return S.contained(sig, ["ssd", "tpl"], "id")
+    """Orders whose (part, supplier) lines are all lines of another order."""
+    sig = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", F.col("l_orderkey").alias("id")).distinct()
+    return S.contained(sig, ["l_partkey", "l_suppkey"], "id")
 
 
 def stg04_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,8 +214,8 @@ SQL = {
  bad as (select l_orderkey from s where l_linestatus <> case when i % 2 = 0 then 'O' else 'F' end union select l_orderkey from s group by l_orderkey, slot having count(distinct l_returnflag) > 1)
  select l_orderkey, slot, min(l_returnflag) as station, min(l_partkey) filter (l_linestatus = 'F') as arr_part, min(l_partkey) filter (l_linestatus = 'O') as dep_part from s where l_orderkey not in (select l_orderkey from bad) group by 1, 2""",
     "stg02_malformed": f"with {D.ORDER_STOPS} select trip_id from (select trip_id, station, act_arr < lag(act_arr) over (partition by trip_id order by stop_seq, l_partkey, l_suppkey, l_extendedprice) as back from stops) group by 1 having coalesce(bool_or(back), false) or count(*) > count(distinct station)",
-    "jn07_contained": """with s as (select distinct ssd, tpl, rid as id from gb_sched where ssd is not null and tpl is not null and rid is not null),
- z as (select id, count(*) as n from s group by 1), c as (select a.id as a, b.id as b, count(*) as n from s a join s b using (ssd, tpl) where a.id <> b.id group by 1, 2)
+    "jn07_contained": """with s as (select distinct l_partkey, l_suppkey, l_orderkey as id from lineitem),
+ z as (select id, count(*) as n from s group by 1), c as (select a.id as a, b.id as b, count(*) as n from s a join s b using (l_partkey, l_suppkey) where a.id <> b.id group by 1, 2)
  select distinct a as id from c join z x on x.id = a join z y on y.id = b where c.n = x.n and (y.n > x.n or (y.n = x.n and b < a))""",
     "stg04_gaps": "select rid, count(*) filter (gap) as gaps from (select rid, coalesce(lead(idx) over (partition by rid, ts order by idx) - idx > 1, false) as gap from (select distinct rid, ts, idx from gb_sched where can <> 'True')) group by 1",
     "stg05_gap_hours": f"""with {D.LEGS}, h as (select t_dep // 3600 * 3600 as hour, count(*) as n from legs group by 1), s as (select unnest(generate_series((select min(hour) from h), (select max(hour) from h), 3600)) as hour),
