@@ -39,16 +39,21 @@ def _unmarked(line: Column) -> Column:
     return F.regexp_replace(line, "^(﻿|￾|ï»¿|​|⁠)+", "")
 
 
-def _fields(line: Column, sep: Column, columns: int) -> Column:
-    """Values of a line as array<string>; quoted values may hold separators, doubled quotes are one."""
+def _with_fields(rows: DataFrame, columns: int) -> DataFrame:
+    """_f: values of a line as array<string>; quoted values may hold separators, doubled quotes are one.
+
+    Only lines with quotes go through the CSV parser, once each: its struct is a column of its own before it is taken apart.
+    """
     schema = ", ".join(f"c{i} string" for i in range(max(1, columns)))
-    quoted = None
+    quoted = F.instr("line", '"') > 0
+    row = None
     for s in SEPARATORS:
-        row = F.from_csv(line, schema, {"sep": s, "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true"})
-        values = F.array(*[row[f"c{i}"] for i in range(max(1, columns))])
-        quoted = F.when(sep == s, values) if quoted is None else quoted.when(sep == s, values)
-    plain = F.split(line, F.concat(F.lit("\\Q"), sep, F.lit("\\E")), -1)
-    return F.transform(F.when(F.instr(line, '"') > 0, quoted).otherwise(plain), lambda v: F.trim(v))
+        this, parsed_ = quoted & (F.col("sep") == s), F.from_csv("line", schema, {"sep": s, "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true"})
+        row = F.when(this, parsed_) if row is None else row.when(this, parsed_)
+    plain = F.split("line", F.concat(F.lit("\\Q"), F.col("sep"), F.lit("\\E")), -1)
+    x = rows.withColumn("_q", row)
+    values = F.when(quoted, F.array(*[F.col("_q")[f"c{i}"] for i in range(max(1, columns))])).otherwise(plain)
+    return x.withColumn("_f", F.transform(values, lambda v: F.trim(v))).drop("_q")
 
 
 def headers(lines: DataFrame) -> DataFrame:
@@ -77,7 +82,7 @@ def parsed(lines: DataFrame, heads: DataFrame) -> DataFrame:
     h = heads.select("feed", "file_name", "sep", "names")
     small = broadcast_checked(h, HEADER_ROWS)
     j = join_null_safe(data, small if small is not None else h, ["feed", "file_name"])
-    f = j.withColumn("_f", _fields(F.col("line"), F.col("sep"), width))
+    f = _with_fields(j, width)
     value = F.transform("names", lambda _, i: F.get("_f", i))
     clean = F.transform(value, lambda v: F.when(~junk(v), v))
     return f.select("feed", "file_name", "line_no", "names", clean.alias("values"))
