@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -163,14 +163,17 @@ def _entries(x: object) -> dict:
     return {} if x is None else {e["key"]: e["value"] for e in x}
 
 
-def content_score(a: dict, b: dict) -> float:
+def content_score(a: dict, b: dict, together: frozenset = frozenset()) -> float:
     """0..1: how likely column b of a file is column a of the file before.
 
     Numbers and text must share values: a sketch overlap of 0.1 of the smaller set is no chance between columns drawn
-    from different sets. Where values of any column look alike (times, dates, flags) form and name decide.
+    from different sets. Where values of any column look alike (times, dates, flags) form and name decide; then two names
+    that stand together in a file of the feed are two fields.
     """
     if not a["type"] or not b["type"]:
         return 0.0
+    if a["type"] in VAGUE and frozenset((a["name"], b["name"])) in together:
+        return 0.0
     numeric = {"integer", "decimal"}
     if a["type"] != b["type"] and not {a["type"], b["type"]} <= numeric:
         return 0.0
@@ -223,17 +226,33 @@ def best_matching(score: list[list[float]], least: float) -> list[tuple[int, int
     return sorted((owner[j], j) for j in range(n) if owner[j] < len(score) and j < len(score[owner[j]]) and score[owner[j]][j] >= least)
 
 
-def _renames(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for g in groups:
-        for (feed, file), x in g.groupby(["feed", "file_name"], dropna=False, sort=False):
-            gone, new = list(x["gone"].iloc[0]), list(x["new"].iloc[0])
-            gone.sort(key=lambda c: c["name"])
-            new.sort(key=lambda c: c["name"])
-            pairs = best_matching([[content_score(a, b) for b in new] for a in gone], LEAST_SCORE)
-            old, to = {gone[i]["name"] for i, _ in pairs}, {new[j]["name"] for _, j in pairs}
-            out = [("renamed", gone[i]["name"], new[j]["name"]) for i, j in pairs]
-            out += [("removed", c["name"], "") for c in gone if c["name"] not in old] + [("added", c["name"], "") for c in new if c["name"] not in to]
-            yield pd.DataFrame([(feed, file, *o) for o in out], columns=["feed", "file_name", "change_kind", "field_name", "new_name"])
+def _renames(together: dict) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """together: feed -> pairs of names that stand in one file."""
+
+    def run(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in groups:
+            out = []
+            for feed, file, gone, new in zip(g["feed"], g["file_name"], g["gone"], g["new"]):
+                gone, new = (sorted(x, key=lambda c: c["name"]) for x in (gone, new))
+                apart = together.get(feed, frozenset())
+                pairs = best_matching([[content_score(a, b, apart) for b in new] for a in gone], LEAST_SCORE)
+                old, to = {gone[i]["name"] for i, _ in pairs}, {new[j]["name"] for _, j in pairs}
+                rows = [("renamed", gone[i]["name"], new[j]["name"]) for i, j in pairs]
+                rows += [("removed", c["name"], "") for c in gone if c["name"] not in old] + [("added", c["name"], "") for c in new if c["name"] not in to]
+                out += [(feed, file, *r) for r in rows]
+            yield pd.DataFrame(out, columns=["feed", "file_name", "change_kind", "field_name", "new_name"])
+
+    return run
+
+
+def _together(heads: DataFrame) -> dict:
+    """feed -> pairs of names found in one header; as many as the square of a feed's vocabulary at most."""
+    sets = heads.select("feed", F.array_sort("names").alias("names")).distinct().select("feed", F.explode("names").alias("a"), "names")
+    pairs = sets.select("feed", "a", F.explode("names").alias("b")).filter("a < b").distinct()
+    out: dict = {}
+    for r in pairs.collect():
+        out.setdefault(r.feed, set()).add(frozenset((r.a, r.b)))
+    return {f: frozenset(v) for f, v in out.items()}
 
 
 def changes(heads: DataFrame, columns: DataFrame) -> DataFrame:
@@ -259,7 +278,7 @@ def changes(heads: DataFrame, columns: DataFrame) -> DataFrame:
     both = both.join(f2, F.col("feed").eqNullSafe(F.col("f_feed")) & (F.col("to_seq") == F.col("f_seq"))).drop("f_feed", "f_seq")
     retyped = both.filter("NOT is_new AND NOT is_gone AND t0 <> t1").select("feed", "file_name", F.lit("retyped").alias("change_kind"), F.col("name").alias("field_name"), F.lit("").alias("new_name"))
     open_ = both.filter("is_new OR is_gone").groupBy("feed", "file_name").agg(F.collect_list(F.when(F.col("is_gone"), F.col("old"))).alias("gone"), F.collect_list(F.when(F.col("is_new"), F.col("new"))).alias("new"))
-    moved = open_.mapInPandas(_renames, "feed string, file_name string, change_kind string, field_name string, new_name string")
+    moved = open_.mapInPandas(_renames(_together(heads)), "feed string, file_name string, change_kind string, field_name string, new_name string")
     return retyped.unionByName(moved)
 
 

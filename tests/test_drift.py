@@ -31,6 +31,13 @@ def test_changes_between_files(spark):
     assert got == {("3", "renamed", "NUM", "NUMBER"), ("4", "removed", "DEP_TIME", ""), ("4", "added", "OTHER", ""), ("4", "retyped", "NUMBER", "")}
 
 
+def test_names_that_stood_together_are_two_fields(spark):
+    rows = file("1", 1, *table("NUM,REAL_TIME,PLAN_TIME", A, T, T[::-1])) + file("2", 2, *table("NUM,REAL_TIME", A, T))
+    rows += file("3", 3, *table("NUM,PLAN_TIME", A, T)) + file("4", 4, *table("NUM,PLANNED_TIME", A, T))
+    got = {(r.file_name, r.change_kind, r.field_name, r.new_name) for r in schema_changes(spark.createDataFrame(rows, S)).collect()}
+    assert got == {("2", "removed", "PLAN_TIME", ""), ("3", "removed", "REAL_TIME", ""), ("3", "added", "PLAN_TIME", ""), ("4", "renamed", "PLAN_TIME", "PLANNED_TIME")}
+
+
 def test_one_table(spark):
     rows = file("1", 1, *table("NUM,NAME,DAY", A, B, ["01JAN2020"] * 40)) + file("2", 2, "NAME,NO,DAY", '"P1, x",7,2020-01-02', "P2", "-,?,NULL")
     rows += file("3", 3, *table("NUMBER,NAME,DAY", A, B, ["03.01.2020"] * 40))
