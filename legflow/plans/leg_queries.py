@@ -219,6 +219,6 @@ SQL = {
  select distinct a as id from c join z x on x.id = a join z y on y.id = b where c.n = x.n and (y.n > x.n or (y.n = x.n and b < a))""",
     "stg04_gaps": "select rid, count(*) filter (gap) as gaps from (select rid, coalesce(lead(idx) over (partition by rid, ts order by idx) - idx > 1, false) as gap from (select distinct rid, ts, idx from gb_sched where can <> 'True')) group by 1",
     "stg05_gap_hours": f"""with {D.LEGS}, h as (select t_dep // 3600 * 3600 as hour, count(*) as n from legs group by 1), s as (select unnest(generate_series((select min(hour) from h), (select max(hour) from h), 3600)) as hour),
- a as (select hour, coalesce(n, 0) as n from s left join h using (hour)) select hour, n from (select *, median(n) over (partition by dayofweek(to_timestamp(hour)), hour(to_timestamp(hour))) as m from a) where n < 0.8 * m""",
+ a as (select hour, coalesce(n, 0) as n from s left join h using (hour)) select hour, n from (select *, median(n) over (partition by dayofweek(to_timestamp(hour) at time zone 'UTC'), hour(to_timestamp(hour) at time zone 'UTC')) as m from a) where n < 0.8 * m""",
     "wn07_labels": "select trip_id, service_day, case when k = 1 then label else label || ' #' || k end as label from (select *, row_number() over (partition by service_day, label order by t_first, trip_id) as k from (select distinct * from at_trips))",
 }
