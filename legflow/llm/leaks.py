@@ -22,7 +22,8 @@ from legflow.runtime import broadcast_checked, cut, join_null_safe
 WINDOW = 5  # words
 LITERAL = 3  # of a window's words that are no placeholder; windows with fewer match by their own words only
 NAME_SHARE = 0.002  # a word of fewer documents than that is taken for a name: the others number at most words-per-document / share
-COMMON_SHARE = 0.02  # windows of more documents than that belong to the corpus, not to an item
+COMMON_SHARE = 0.02  # windows that stand apart from their item in more distinct texts than that belong to the corpus
+MISSING = 3  # words of an item in a row that a text lacks if it does not hold the item whole
 CANDIDATE = 0.3  # share of an item's words covered by matching windows from which a pair is read again
 LEAST = 0.5  # share of an item's words that must be there in order
 NEAR = 12  # words of a gap that are compared one by one
@@ -107,7 +108,7 @@ def known_words(documents: DataFrame, text: str) -> tuple[frozenset[str], int]:
 
 
 def _hashes(table: DataFrame, key: str, text: str, known: frozenset[str]) -> DataFrame:
-    """_key, n (words), h (array of window hashes by position)."""
+    """_key, _text (the text's own hash), n (words), h (array of window hashes by position)."""
     shared = table.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,10 +119,10 @@ def _hashes(table: DataFrame, key: str, text: str, known: frozenset[str]) -> Dat
                 w = words_of(t)
                 n.append(len(w))
                 h.append(windows(*codes(w, k)) if len(w) >= WINDOW else np.zeros(0, dtype=np.int64))
-            yield pd.DataFrame({"_key": b["_key"], "n": n, "h": h})
+            yield pd.DataFrame({"_key": b["_key"], "_text": b["_text"], "n": n, "h": h})
 
     kind = dict(table.dtypes)[key]
-    return table.select(F.col(key).alias("_key"), F.col(text).alias("t")).mapInPandas(run, f"_key {kind}, n int, h array<long>")
+    return table.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_text"), F.col(text).alias("t")).mapInPandas(run, f"_key {kind}, _text long, n int, h array<long>")
 
 
 def _covered(positions: Column, n: Column) -> Column:
@@ -130,6 +131,30 @@ def _covered(positions: Column, n: Column) -> Column:
     return F.aggregate(positions, F.struct(F.lit(0).alias("c"), F.lit(-w).alias("last")), lambda a, p: F.struct((a["c"] + F.least(F.lit(w), p - a["last"])).cast("int").alias("c"), p.cast("int").alias("last")), lambda a: a["c"]) / n
 
 
+def _gap(positions: Column, n: Column) -> Column:
+    """Most words in a row, of n, that no window at the (sorted, distinct) positions covers."""
+    least = F.struct(F.lit(0).alias("gap"), F.lit(0).alias("end"))
+    return F.aggregate(positions, least, lambda a, p: F.struct(F.greatest(a["gap"], (p - a["end"]).cast("int")).alias("gap"), (p + WINDOW).cast("int").alias("end")), lambda a: F.greatest(a["gap"], n - a["end"]))
+
+
+def _common(hit: DataFrame, place: DataFrame, least: float) -> DataFrame:
+    """item, k of the windows that belong to the corpus.
+
+    hit: _text, h, distinct; place: item, words, k, h. A window is the corpus's if more than `least` distinct texts hold it
+    apart from its item: they hold under LEAST of the item, or, where a recurring sentence makes up more of it, exactly the
+    same windows as more than `least` texts do and lack words in a row. Texts with the whole item, or with parts of it
+    cut and altered in different ways, never make its windows common, however many they are.
+    """
+    seen = hit.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") > least)
+    some = place.join(seen.select("h"), "h", "left_semi").select("item").distinct()
+    here = join_null_safe(place, some, ["item"])
+    small = broadcast_checked(here, WINDOWS_BROADCAST)
+    held = hit.join(small if small is not None else here, "h").groupBy("_text", "item", "words").agg(F.array_sort(F.collect_set("k")).alias("ks"))
+    alike = held.groupBy("item", "words", "ks").agg(F.count(F.lit(1)).alias("n"))
+    apart = alike.filter((_covered(F.col("ks"), F.col("words")) < LEAST) | ((F.col("n") > least) & (_gap(F.col("ks"), F.col("words")) >= MISSING)))
+    return apart.select("item", "n", F.explode("ks").alias("k")).groupBy("item", "k").agg(F.sum("n").alias("n")).filter(F.col("n") > least).select("item", "k")
+
+
 @dataclass(frozen=True)
 class Found:
     share: float
@@ -216,22 +241,23 @@ def ordered_share(item: tuple[np.ndarray, np.ndarray, np.ndarray], doc: tuple[np
 def leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
     """doc_key, item_key, share of every document that holds at least half of an item's words in the item's order.
 
-    Words the corpus has in common (windows of more than COMMON_SHARE of all documents) do not count, neither among the held
-    nor among those to be held. Null, empty and short texts (under WINDOW words) hold nothing and are held by nothing.
+    Words the corpus has in common (windows that stand apart from their item in more than COMMON_SHARE of all distinct
+    texts, see _common) do not count, neither among the held nor among those to be held. Null, empty and short texts (under WINDOW words) hold nothing and are held by nothing.
     Documents with equal keys count as one if they are equal. Item windows are joined by broadcast up to
     WINDOWS_BROADCAST of them, beyond that by a shuffle of both sides on the hash.
     """
-    known, total = known_words(documents, text)
+    known, _ = known_words(documents, text)
     docs = cut(_hashes(documents.filter(F.col(text).isNotNull()), doc_key, text, known).withColumn("_row", F.monotonically_increasing_id()))
     it = cut(_hashes(items.filter(F.col(text).isNotNull()).select(item_key, text).distinct(), item_key, text, known))
     place = it.select(F.col("_key").alias("item"), F.col("n").alias("words"), F.posexplode("h").alias("k", "h"))
-    # documents per item window, over all documents: a window counts once a document
     wanted = place.select("h").distinct()
     small = broadcast_checked(wanted, WINDOWS_BROADCAST)
-    each = docs.select("_row", "_key", F.explode(F.array_distinct("h")).alias("h"))
+    each = docs.select("_row", "_key", "_text", F.explode(F.array_distinct("h")).alias("h"))
     hit = cut(each.join(small if small is not None else wanted, "h"))
-    seen = hit.groupBy("h").agg(F.count(F.lit(1)).alias("docs"))
-    often = cut(place.join(seen, "h", "left").select("item", "words", "k", "h", (F.coalesce("docs", F.lit(0)) > max(3.0, COMMON_SHARE * total)).alias("common")))
+    # distinct texts per item window, over all documents: a window counts once a text, however often that is copied
+    texts = docs.filter("n > 0").select("_text").distinct().count()
+    corpus = _common(hit.select("_text", "h").distinct(), place, max(3.0, COMMON_SHARE * texts)).withColumn("common", F.lit(True))
+    often = cut(join_null_safe(place, corpus, ["item", "k"], "left").withColumn("common", F.coalesce("common", F.lit(False))))
     rare = often.filter("NOT common").select("item", "words", "k", "h")
     small = broadcast_checked(rare, WINDOWS_BROADCAST)
     pair = hit.join(small if small is not None else rare, "h").groupBy("_row", "_key", "item", "words").agg(F.array_sort(F.collect_set("k")).alias("k"))

@@ -47,3 +47,18 @@ def test_other_names_and_numbers_in_the_same_slots():
     assert L.ordered_share(form(q), form(same), none).share == 1.0
     f = L.ordered_share(form(q), form(mixed), none)
     assert f.share < 1.0 and f.slots < 1.0
+
+
+def test_frequent_leaks_are_no_corpus_text(spark):
+    r = random.Random(4)
+    say = lambda n: " ".join(r.choice(WORDS) for _ in range(n))
+    common = say(18)
+    items = [(0, say(50)), (1, say(25) + " " + common + " " + say(25)), (2, say(50)), (3, say(8) + " " + common + " " + say(6))]
+    docs = [(i, say(60) + (" " + common if i % 4 == 0 else "") + " " + say(60)) for i in range(300)]
+    leaked = {i: k for i, k in [*((i, 0) for i in range(1000, 1060)), *((i, 1) for i in range(1100, 1140))]}
+    docs += [(i, say(20) + " " + items[k][1] + " " + say(20)) for i, k in leaked.items()]
+    copy = say(30) + " " + items[2][1]
+    docs += [(i, copy) for i in range(1200, 1300)]
+    leaked |= {i: 2 for i in range(1200, 1300)}
+    d, i = spark.createDataFrame([(*x, 1, "z") for x in docs], D), spark.createDataFrame([(*x, "q") for x in items], I)
+    assert {(x.doc_id, x.item_id) for x in L.leaks(d, i).collect()} == set(leaked.items())
