@@ -21,7 +21,7 @@ from legflow.runtime import broadcast_checked, cut
 BITS = (16, 18, 20)  # of the tables of one, two and three characters: together 5.5 MB
 WEIGHTS = (0.05, 0.25, 0.7)
 UNSEEN = 1e-7
-LONGEST = 400  # a word is scored in stretches of so many characters around its first odd one, and replaced as a whole
+LONGEST = 400  # a longer word is taken as several, its stretches of at most so many characters
 MARGIN_FLOOR, MARGIN_CEILING = 4.0, 14.0
 CLEANING = (4.0, 3.0)  # margins of the passes that only clean the training set: too many records left out do no harm
 PLAUSIBLE = -5.2  # least mean log-likelihood a character of a restored word
@@ -142,6 +142,67 @@ def is_strict(word: str) -> bool:
     return LOST in word or bool(CONTROL.search(word)) or any(CONTROL.search(c) is None and LOST not in c for c in _utf8_once(word))
 
 
+def _units(chars: list[str], starts: list[int], encoding: str) -> tuple[list[str], list[int]]:
+    """The characters, and where each starts, after UTF-8 read as `encoding` is read back wherever it is some."""
+    raw, i, out, at = [_to_byte(encoding).get(c) for c in chars], 0, [], []
+    while i < len(chars):
+        for n in (2, 3, 4):
+            try:
+                c = bytes(raw[i : i + n]).decode("utf-8") if i + n <= len(raw) and None not in raw[i : i + n] else ""
+            except UnicodeDecodeError:
+                continue
+            if len(c) == 1:
+                break
+        else:
+            n, c = 1, chars[i]
+        out.append(c)
+        at.append(starts[i])
+        i += n
+    return out, at
+
+
+def _between(run: str) -> int:
+    """The last place in the second half of a run of odd characters where a cut parts no character that was garbled into
+    several, however often; its end if there is none."""
+    ok, layer = set(range(len(run))), {run: list(range(len(run)))}
+    for _ in range(3):
+        nxt: dict[str, list[int]] = {}
+        for text, starts in layer.items():
+            for e in UTF8_READ_AS:
+                c, at = _units(list(text), starts, e)
+                if len(c) < len(text):
+                    nxt.setdefault("".join(c), at)
+                    ok &= set(at)
+        layer = nxt
+    return max((c for c in ok if c >= len(run) // 2), default=len(run))
+
+
+def stretches(word: str) -> list[str]:
+    """A word in parts of at most LONGEST characters that make it up; cut in the longest ASCII part near the limit, so that
+    runs of odd characters stay whole, and inside a run only if it is longer than half of LONGEST."""
+    out, half = [], LONGEST // 2
+    while len(word) > LONGEST:
+        near = word[half:LONGEST]
+        plain = max(re.finditer(r"[\x00-\x7f]+", near), key=lambda m: m.end() - m.start(), default=None)
+        c = half + ((plain.start() + plain.end()) // 2 if plain else _between(near))
+        out.append(word[:c])
+        word = word[c:]
+    return [*out, word]
+
+
+def _stretched(rows: DataFrame, column: str) -> DataFrame:
+    """The rows with the words of an array column in stretches. Only rows with a longer word than LONGEST go to Python."""
+    long = F.coalesce(F.exists(column, lambda w: F.length(w) > LONGEST), F.lit(False))
+    if rows.filter(long).isEmpty():
+        return rows
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(**{column: [[s for w in ws for s in stretches(w)] for ws in b[column]]})
+
+    return cut(rows.filter(~long).unionByName(rows.filter(long).mapInPandas(run, rows.schema)))
+
+
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash slots of one, two and three characters at each place of the texts (an end mark included), and their text."""
     marked = ["\x02" + t + "\x03" for t in texts]
@@ -194,7 +255,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for at in range(0, len(b), 20_000):
             x = b.iloc[at : at + 20_000]
-            texts = [w[:LONGEST] for w in x["word"]]
+            texts = list(x["word"])
             n = x["n"].to_numpy(dtype=float)
             *g, owner = _grams(texts)
             for k in range(3):
@@ -214,24 +275,15 @@ def train(word_counts: DataFrame) -> Model:
     return Model(*tables)
 
 
-def _window(word: str) -> str:
-    if len(word) <= LONGEST:
-        return word
-    m = ODD.search(word)
-    at = max(0, (m.start() if m else 0) - 20)
-    return word[at : at + LONGEST]
-
-
 def proposed(words: DataFrame) -> DataFrame:
-    """word -> word, short (the stretch that is scored), texts (what the chains make of it), strict."""
+    """word -> word, texts (what the chains make of it), strict."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            short = [_window(w) for w in b["word"]]
-            texts = [[c for c, _ in candidates(s)] for s in short]
-            yield pd.DataFrame({"word": b["word"], "short": short, "texts": texts, "strict": [is_strict(w) for w in b["word"]]})
+            texts = [[c for c, _ in candidates(w)] for w in b["word"]]
+            yield pd.DataFrame({"word": b["word"], "texts": texts, "strict": [is_strict(w) for w in b["word"]]})
 
-    return words.select("word").mapInPandas(run, "word string, short string, texts array<string>, strict boolean")
+    return words.select("word").mapInPandas(run, "word string, texts array<string>, strict boolean")
 
 
 def score(proposals: DataFrame, model: Model) -> DataFrame:
@@ -247,21 +299,20 @@ def score(proposals: DataFrame, model: Model) -> DataFrame:
             for at in range(0, max(1, len(b)), 5_000):
                 x = b.iloc[at : at + 5_000]
                 flat = [c for cs in x["texts"] for c in cs]
-                own, each = m.loglik(list(x["short"])), m.loglik(flat)
+                own, each = m.loglik(list(x["word"])), m.loglik(flat)
                 gain, fixed, lost, j = [], [], [], 0
-                for w, s, cs, mine in zip(x["word"], x["short"], x["texts"], own):
+                for w, cs, mine in zip(x["word"], x["texts"], own):
                     best, text = None, None
                     for c, ll in zip(cs, each[j : j + len(cs)]):
                         if ll / (len(c) + 1) >= PLAUSIBLE and (best is None or ll - mine > best):
                             best, text = float(ll - mine), c
                     j += len(cs)
                     gain.append(best)
-                    # a long word is scored in part, and restored in that part
-                    fixed.append(None if text is None else w.replace(s, text))
+                    fixed.append(text)
                     lost.append(LOST in w or bool(CONTROL.search(w)))
                 yield pd.DataFrame({"word": list(x["word"]), "gain": gain, "fixed": fixed, "lost": lost})
 
-    return proposals.select("word", "short", "texts").mapInPandas(run, "word string, gain double, fixed string, lost boolean")
+    return proposals.select("word", "texts").mapInPandas(run, "word string, gain double, fixed string, lost boolean")
 
 
 def _rows_with(occ: DataFrame, words: DataFrame) -> DataFrame:
@@ -290,10 +341,12 @@ def find(documents: DataFrame, key: str, text: str) -> Garbled:
     3. A model of the remaining (clean) records, less one in HELD_OUT; on the words of the held-out ones the margin is set:
        the gain all but one in a thousand of their distinct words stay below, within MARGIN_FLOOR and MARGIN_CEILING.
     4. A word is accepted if it gains more than the margin, or holds a replacement or control character.
+    A word over LONGEST characters counts as several, its stretches: each is learnt, scored and restored by itself.
     Null and empty texts, and texts in ASCII, are never affected. Every count runs over the whole corpus and whole texts.
     """
     split = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"\S+"), F.lit(0))
     docs = cut(documents.select(F.col(key).alias("_key"), split.alias("_w")).withColumn("_row", F.monotonically_increasing_id()))
+    docs = _stretched(docs, "_w")
     odd = F.array_distinct(F.filter("_w", lambda w: w.rlike(r"[^\x00-\x7F]")))
     occ = cut(docs.select("_row", F.explode(odd).alias("word")))
     words = cut(occ.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
@@ -334,7 +387,8 @@ def restored(documents: DataFrame, key: str, text: str) -> DataFrame:
     g = find(documents, key, text)
     rows = documents.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(g.documents.join(g.rows, "_row", "left_semi").select("_key").distinct(), F.col("_k").eqNullSafe(F.col("_key")), "left_semi")
     rows = cut(rows.withColumn("_id", F.monotonically_increasing_id()))
-    parts = rows.select("_id", F.posexplode(F.regexp_extract_all("_t", F.lit(r"\S+|\s+"), F.lit(0))).alias("pos", "word"))
+    split = cut(rows.select("_id", F.regexp_extract_all("_t", F.lit(r"\S+|\s+"), F.lit(0)).alias("_w")))
+    parts = _stretched(split, "_w").select("_id", F.posexplode("_w").alias("pos", "word"))
     fix = g.words.select("word", F.when(F.col("gain") > g.margin, F.col("fixed")).alias("fixed"), (F.col("lost") & ~F.coalesce(F.col("gain") > g.margin, F.lit(False))).alias("gone"))
     joined = parts.join(fix, "word", "left").select("_id", "pos", F.coalesce("fixed", "word").alias("w"), F.coalesce("gone", F.lit(False)).alias("gone"))
     out = joined.groupBy("_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda p: p["w"]), "").alias("restored"), (~F.max("gone")).alias("complete"))

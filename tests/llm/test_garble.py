@@ -49,3 +49,20 @@ def test_without_text(spark):
     assert G.restored(df, "doc_id", "text").count() == 0
     few = spark.createDataFrame([(1, None, "", 0), (2, "ü" * 5000, "", 0)], S)
     assert G.affected(few, "doc_id", "text").count() == 0
+
+
+def test_stretches_make_up_the_word_and_part_no_character():
+    garbled = lambda t: t.encode().decode("cp1252").encode().decode("cp1252")
+    for w in ("x" * 1000, "é" + "a" * 399 + "Ã¼" + "b" * 900, "Ã¼" * 3000, garbled("ü" * 1500), "aÃ¼" * 700, "東" * 5000, "x" * 400):
+        parts = G.stretches(w)
+        assert "".join(parts) == w and max(map(len, parts)) <= G.LONGEST
+    assert all(set(p.encode("cp1252").decode()) == {"ü"} for p in G.stretches("Ã¼" * 3000))
+    assert all(set(p.encode("cp1252").decode().encode("cp1252").decode()) == {"ü"} for p in G.stretches(garbled("ü" * 1500)))
+
+
+def test_garbled_far_into_a_word_without_blanks(spark):
+    docs, _ = corpus()
+    clean = "_".join(["Besançon", *["Bahnhof"] * 120, "Müllheim", *["Bahnhof"] * 90, "Zürich"])
+    bad = clean.replace("Müllheim", "MÃ¼llheim").replace("Zürich", "ZÃ¼rich")
+    df = spark.createDataFrame([(*x, "z", 5) for x in [*docs, (5000, bad), (5001, clean)]], S)
+    assert {x.doc_id: x.restored for x in G.restored(df, "doc_id", "text").collect()} == {5000: clean}
