@@ -11,7 +11,6 @@ from pyspark.sql.window import Window
 
 from legflow.runtime import broadcast_checked, cut, join_null_safe
 
-BINS = 256  # bins of a value sketch: the least hash of each, so a profile is bounded whatever the file holds
 LEAST_SCORE = 0.5
 TYPE_SHARE = 0.9  # share of the values other than junk that a type must cover
 HEADER_ROWS = 200_000
@@ -101,23 +100,19 @@ def _shape(v: Column) -> Column:
     return F.regexp_replace(s, "9{7,}", "9*")
 
 
+def _exploded(rows: DataFrame) -> DataFrame:
+    v = rows.select("feed", "file_name", F.explode(F.arrays_zip(F.col("names").alias("name"), F.col("values").alias("v"))).alias("z"))
+    return v.select("feed", "file_name", F.col("z.name").alias("name"), F.col("z.v").alias("v"))
+
+
 def profiles(rows: DataFrame) -> DataFrame:
-    """feed, file_name, name, type, n, sketch (map bin -> least hash), shapes (map) of every column of every file.
+    """feed, file_name, name, type, n, shapes (map) of every column of every file.
 
-    Values are pre-aggregated by (column, bin): a hot file costs each task at most BINS rows a column. The sketch is a
-    one-permutation min-hash, in which two columns' share of equal bins estimates the overlap of their value sets. Numbers
-    are sketched by value (2011.0 as 2011). Whole numbers only of 0 and 1 are boolean. type is null without values.
+    Values are pre-aggregated by (column, kind, form). Whole numbers only of 0 and 1 are boolean. type is null without values.
     """
-    v = rows.select("feed", "file_name", F.explode(F.arrays_zip(F.col("names").alias("name"), F.col("values").alias("v"))).alias("z"))
-    v = v.select("feed", "file_name", F.col("z.name").alias("name"), F.col("z.v").alias("v"))
-    plain = F.when(F.col("v").rlike(r"^[+-]?[0-9]+[.,]0*$"), F.regexp_replace("v", r"[.,]0*$", "")).otherwise(F.upper("v"))
-    v = v.select("feed", "file_name", "name", _kind(F.col("v")).alias("kind"), _shape(F.col("v")).alias("shape"), F.xxhash64(plain).alias("hash"), F.col("v").isNotNull().alias("has"))
-    v = v.withColumn("bin", F.when(F.col("has"), F.pmod(F.xxhash64("hash", F.lit(7)), F.lit(BINS)).cast("int")))
+    v = _exploded(rows).select("feed", "file_name", "name", _kind(F.col("v")).alias("kind"), _shape(F.col("v")).alias("shape"), F.col("v").isNotNull().alias("has"))
     key = ["feed", "file_name", "name"]
-    cells = v.groupBy(*key, "bin", "kind", "shape").agg(F.sum(F.col("has").cast("int")).alias("n"), F.min(F.when(F.col("has"), F.col("hash"))).alias("least"))
-    cells = cut(cells)
-    bins = cells.filter("bin IS NOT NULL").groupBy(*key, "bin").agg(F.min("least").alias("least"))
-    bins = bins.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("bin", "least"))).alias("sketch"))
+    cells = cut(v.groupBy(*key, "kind", "shape").agg(F.sum(F.col("has").cast("int")).alias("n")))
     kinds = cells.groupBy(*key).agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in (*NOTATIONS, "text")])
     forms = cells.filter("n > 0").groupBy(*key, "shape").agg(F.sum("n").alias("k"))
     top = Window.partitionBy(*key).orderBy(F.desc("k"), "shape")
@@ -132,8 +127,35 @@ def profiles(rows: DataFrame) -> DataFrame:
         .when(ok("time"), "time")
         .otherwise("text")
     )
-    out = join_null_safe(join_null_safe(kinds, bins, key, "left"), forms, key, "left")
-    return out.select(*key, kind.alias("type"), "n", "sketch", "shapes")
+    out = join_null_safe(kinds, forms, key, "left")
+    return out.select(*key, kind.alias("type"), "n", "shapes")
+
+
+def shares(heads: DataFrame, values: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """feed, file_name, shared (list of old, new, share): of each column gone and each new one in a file, what share of the
+    distinct values of the one that has fewer is in the other.
+
+    values: headers -> parsed lines of these files. Counted, not estimated: from sketches of a fixed size nothing can be
+    said of a small column in a large one. Only columns that come or go are read; numbers are compared by value (2011.0 as
+    2011).
+    """
+    w = Window.partitionBy("feed").orderBy(F.col("published_at").asc_nulls_first(), "file_name")
+    step = heads.select("feed", "file_name", "names", F.lag("names").over(w).alias("before"), F.lag("file_name").over(w).alias("last")).filter("last IS NOT NULL")
+    step = step.select("feed", "file_name", "last", F.array_except("before", "names").alias("gone"), F.array_except("names", "before").alias("new")).filter((F.size("gone") > 0) & (F.size("new") > 0))
+    old = step.select("feed", F.col("last").alias("file_name"), F.explode("gone").alias("name"), F.col("file_name").alias("to_file"), F.lit(True).alias("old"))
+    sides = cut(old.unionByName(step.select("feed", "file_name", F.explode("new").alias("name"), F.col("file_name").alias("to_file"), F.lit(False).alias("old"))))
+    files = join_null_safe(heads, sides.select("feed", "file_name").distinct(), ["feed", "file_name"])
+    small = broadcast_checked(sides, HEADER_ROWS)
+    v = join_null_safe(_exploded(values(files)).filter("v IS NOT NULL"), small if small is not None else sides, ["feed", "file_name", "name"])
+    plain = F.when(F.col("v").rlike(r"^[+-]?[0-9]+[.,]0*$"), F.regexp_replace("v", r"[.,]0*$", "")).otherwise(F.upper("v"))
+    v = cut(v.select("feed", "to_file", "old", "name", F.xxhash64(plain).alias("hash")).distinct())
+    n = v.groupBy("feed", "to_file", "old", "name").agg(F.count(F.lit(1)).alias("n"))
+    side = lambda d, is_old, c: d.filter(F.col("old") == is_old).withColumnRenamed("name", f"{c}_name").drop("old")
+    both = join_null_safe(side(v, True, "old"), side(v, False, "new"), ["feed", "to_file", "hash"]).groupBy("feed", "to_file", "old_name", "new_name").agg(F.count(F.lit(1)).alias("k"))
+    both = join_null_safe(both, side(n, True, "old").withColumnRenamed("n", "n0"), ["feed", "to_file", "old_name"])
+    both = join_null_safe(both, side(n, False, "new").withColumnRenamed("n", "n1"), ["feed", "to_file", "new_name"])
+    pair = F.struct(F.col("old_name").alias("old"), F.col("new_name").alias("new"), (F.col("k") / F.least("n0", "n1")).alias("share"))
+    return both.groupBy("feed", F.col("to_file").alias("file_name")).agg(F.collect_list(pair).alias("shared"))
 
 
 def name_similarity(a: str, b: str) -> float:
@@ -163,11 +185,10 @@ def _entries(x: object) -> dict:
     return {} if x is None else {e["key"]: e["value"] for e in x}
 
 
-def content_score(a: dict, b: dict, together: frozenset = frozenset()) -> float:
-    """0..1: how likely column b of a file is column a of the file before.
+def content_score(a: dict, b: dict, value: float, together: frozenset = frozenset()) -> float:
+    """0..1: how likely column b of a file is column a of the file before. value: their share, see shares().
 
-    Numbers and text must share values: a sketch overlap of 0.1 of the smaller set is no chance between columns drawn
-    from different sets. Where values of any column look alike (times, dates, flags) form and name decide; then two names
+    Numbers and text must share values: 0.1 of the smaller set is no chance between columns drawn from different sets. Where values of any column look alike (times, dates, flags) form and name decide; then two names
     that stand together in a file of the feed are two fields.
     """
     if not a["type"] or not b["type"]:
@@ -177,9 +198,6 @@ def content_score(a: dict, b: dict, together: frozenset = frozenset()) -> float:
     numeric = {"integer", "decimal"}
     if a["type"] != b["type"] and not {a["type"], b["type"]} <= numeric:
         return 0.0
-    s, t = _entries(a["sketch"]), _entries(b["sketch"])
-    shared = len(s.keys() & t.keys())
-    value = sum(s[k] == t[k] for k in s.keys() & t.keys()) / max(1, min(len(s), len(t))) if shared else 0.0
     p, q = _entries(a["shapes"]), _entries(b["shapes"])
     np_, nq = sum(p.values()) or 1, sum(q.values()) or 1
     form = sum(min(p[k] / np_, q[k] / nq) for k in p.keys() & q.keys())
@@ -232,10 +250,11 @@ def _renames(together: dict) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
     def run(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in groups:
             out = []
-            for feed, file, gone, new in zip(g["feed"], g["file_name"], g["gone"], g["new"]):
+            for feed, file, gone, new, shared in zip(g["feed"], g["file_name"], g["gone"], g["new"], g["shared"]):
                 gone, new = (sorted(x, key=lambda c: c["name"]) for x in (gone, new))
                 apart = together.get(feed, frozenset())
-                pairs = best_matching([[content_score(a, b, apart) for b in new] for a in gone], LEAST_SCORE)
+                value = {(x["old"], x["new"]): x["share"] for x in (() if shared is None else shared)}
+                pairs = best_matching([[content_score(a, b, value.get((a["name"], b["name"]), 0.0), apart) for b in new] for a in gone], LEAST_SCORE)
                 old, to = {gone[i]["name"] for i, _ in pairs}, {new[j]["name"] for _, j in pairs}
                 rows = [("renamed", gone[i]["name"], new[j]["name"]) for i, j in pairs]
                 rows += [("removed", c["name"], "") for c in gone if c["name"] not in old] + [("added", c["name"], "") for c in new if c["name"] not in to]
@@ -255,7 +274,7 @@ def _together(heads: DataFrame) -> dict:
     return {f: frozenset(v) for f, v in out.items()}
 
 
-def changes(heads: DataFrame, columns: DataFrame) -> DataFrame:
+def changes(heads: DataFrame, columns: DataFrame, values: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """feed, file_name, change_kind, field_name, new_name of each file against the one of its feed published just before.
 
     Files of one instant follow by name. The order of fields and the notation of a type are no change. A column without
@@ -265,7 +284,7 @@ def changes(heads: DataFrame, columns: DataFrame) -> DataFrame:
     seq = heads.select("feed", "file_name", F.row_number().over(w).alias("seq"), F.col("names"))
     named = seq.select("feed", "file_name", "seq", F.explode("names").alias("name"))
     c = cut(join_null_safe(named, columns, ["feed", "file_name", "name"], "left"))
-    col = F.struct("name", "type", F.coalesce("n", F.lit(0)).alias("n"), F.map_entries("sketch").alias("sketch"), F.map_entries("shapes").alias("shapes"))
+    col = F.struct("name", "type", F.coalesce("n", F.lit(0)).alias("n"), F.map_entries("shapes").alias("shapes"))
     last = seq.groupBy("feed").agg(F.max("seq").alias("last"))
     files = seq.select("feed", F.col("file_name").alias("to_file"), F.col("seq").alias("to_seq"))
     as_old = join_null_safe(c, last, ["feed"]).filter("seq < last").select("feed", "name", (F.col("seq") + 1).alias("to_seq"), F.col("type").alias("t0"), col.alias("old"))
@@ -278,6 +297,7 @@ def changes(heads: DataFrame, columns: DataFrame) -> DataFrame:
     both = both.join(f2, F.col("feed").eqNullSafe(F.col("f_feed")) & (F.col("to_seq") == F.col("f_seq"))).drop("f_feed", "f_seq")
     retyped = both.filter("NOT is_new AND NOT is_gone AND t0 <> t1").select("feed", "file_name", F.lit("retyped").alias("change_kind"), F.col("name").alias("field_name"), F.lit("").alias("new_name"))
     open_ = both.filter("is_new OR is_gone").groupBy("feed", "file_name").agg(F.collect_list(F.when(F.col("is_gone"), F.col("old"))).alias("gone"), F.collect_list(F.when(F.col("is_new"), F.col("new"))).alias("new"))
+    open_ = join_null_safe(open_, shares(heads, values), ["feed", "file_name"], "left")
     moved = open_.mapInPandas(_renames(_together(heads)), "feed string, file_name string, change_kind string, field_name string, new_name string")
     return retyped.unionByName(moved)
 
@@ -285,7 +305,7 @@ def changes(heads: DataFrame, columns: DataFrame) -> DataFrame:
 def schema_changes(lines: DataFrame) -> DataFrame:
     """Changes between consecutive files of each feed, of raw lines (feed, file_name, published_at, line_no, line)."""
     heads = cut(headers(lines))
-    return changes(heads, profiles(parsed(lines, heads)))
+    return changes(heads, profiles(parsed(lines, heads)), lambda h: parsed(lines, h))
 
 
 # Spark patterns of the date notations above.
@@ -322,7 +342,7 @@ def unified(lines: DataFrame, feed: str, exact_types: bool = True) -> tuple[Data
     heads = cut(headers(lines))
     rows = cut(parsed(lines, heads))
     columns = profiles(rows)
-    found = cut(changes(heads, columns))
+    found = cut(changes(heads, columns, lambda h: join_null_safe(rows, h.select("feed", "file_name"), ["feed", "file_name"])))
     links = found.filter("change_kind = 'renamed'").select("field_name", "new_name").distinct().collect()
     first = heads.select(F.explode("names").alias("name"), "published_at", "file_name").groupBy("name").agg(F.min(F.struct("published_at", "file_name")).alias("at"))
     order = [r.name for r in first.orderBy("at", "name").select("name").collect()]

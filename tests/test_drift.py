@@ -38,6 +38,13 @@ def test_names_that_stood_together_are_two_fields(spark):
     assert got == {("2", "removed", "PLAN_TIME", ""), ("3", "removed", "REAL_TIME", ""), ("3", "added", "PLAN_TIME", ""), ("4", "renamed", "PLAN_TIME", "PLANNED_TIME")}
 
 
+def test_renamed_in_a_far_larger_file(spark):
+    many = [f"P{i * 7 % 9000}" for i in range(9000)]
+    rows = file("1", 1, *table("NUM,NAME", A, B)) + file("2", 2, *table("NO,NAME", range(9000), many)) + file("3", 3, *table("NO,LABEL", A, B))
+    got = {(r.file_name, r.change_kind, r.field_name, r.new_name) for r in schema_changes(spark.createDataFrame(rows, S)).collect()}
+    assert got == {("2", "renamed", "NUM", "NO"), ("3", "renamed", "NAME", "LABEL")}
+
+
 def test_one_table(spark):
     rows = file("1", 1, *table("NUM,NAME,DAY", A, B, ["01JAN2020"] * 40)) + file("2", 2, "NAME,NO,DAY", '"P1, x",7,2020-01-02', "P2", "-,?,NULL")
     rows += file("3", 3, *table("NUMBER,NAME,DAY", A, B, ["03.01.2020"] * 40))
