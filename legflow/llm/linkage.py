@@ -42,7 +42,6 @@ class Rules:
     rho: float = 1.0
     rounds: int = 30
     accept: float = 0.5
-    ambiguous: int = 4
 
 
 def folded(text: str) -> str:
@@ -174,9 +173,9 @@ def candidates(records: DataFrame, rules: Rules) -> DataFrame:
     """a, b (src and key of each, a's src first in order), s: similar pairs of different tables.
 
     records: src, key, name, lon, lat, distinct. Pairs come by place: a grid of cells a reach wide, each record looks into
-    the nine around it. A record without usable position comes by name: by words an edit apart, as long as the name stands
-    for at most `ambiguous` records of the other table: a name many places share identifies none. Where one coordinate is
-    left, it must agree. Records that differ in their key only are one for the search (the least key); see members().
+    the nine around it. A record without usable position comes by name: by words an edit apart, however
+    many bear the name; where one coordinate is left, lat or lon, it must agree and is part of the blocking key. What stays
+    ambiguous is left to the rules. Records that differ in their key only are one for the search (the least key); see members().
     """
     n = cut(_named(records))
     # at most (words a record) / ESTABLISHED[1] words, whatever the number of records
@@ -194,14 +193,22 @@ def candidates(records: DataFrame, rules: Rules) -> DataFrame:
     by_place = l.join(r, ["r", "c"]).filter(F.col("i_a.src") < F.col("i_b.src")).withColumn("d", dist).filter(F.col("d") <= rules.reach).select("i_a", "i_b", "words_a", "words_b", "d")
 
     known = n.filter(F.size("words") > 0).select(F.struct("src", "key").alias("i"), "words", "lon", "lat", "squashed", lonely.alias("lonely"))
-    few = known.groupBy("i.src", "squashed").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= rules.ambiguous)
-    known = known.withColumn("src", F.col("i.src")).join(few.select("src", "squashed"), ["src", "squashed"])
+    blank = F.coalesce((F.col("lon") == 0) & (F.col("lat") == 0), F.lit(False))
+    known = known.withColumn("la", F.when(~blank & F.col("lat").between(-90, 90), F.col("lat"))).withColumn("lo", F.when(~blank & F.col("lon").between(-180, 180), F.col("lon")))
+    row = F.floor(F.col("la") / cell).cast("long")
+    cells = max(1, int(360 / (cell / 0.01)))  # of longitude, a reach wide wherever wide() is
+    col = F.floor((F.col("lo") + 180) / 360 * cells).cast("long")
+    at = lambda mark, n: F.concat(F.lit(mark), n.cast("string"))
+    # a record with lat only meets those of its rows, and those without lat; likewise with lon only
+    three = F.when(F.col("la").isNotNull(), F.array(*[at("a", row + i) for i in (-1, 0, 1)], F.lit("a-"))).when(F.col("lo").isNotNull(), F.array_distinct(F.array(*[at("o", F.pmod(col + i, F.lit(cells))) for i in (-1, 0, 1)], F.lit("o-")))).otherwise(F.array(F.lit("n")))
+    every = F.array(F.coalesce(at("a", row), F.lit("a-")), F.coalesce(at("o", F.pmod(col, F.lit(cells))), F.lit("o-")), F.lit("n"))
     keys = known.withColumn("k", F.explode(_one_edit(F.col("squashed"))))
-    lone = keys.filter("lonely").select("k", F.col("i").alias("i_x"), F.col("words").alias("words_x"), F.col("lon").alias("lon_x"), F.col("lat").alias("lat_x"))
-    some = keys.join(lone.select("k").distinct(), "k", "left_semi").select("k", F.col("i").alias("i_y"), F.col("words").alias("words_y"), F.col("lon").alias("lon_y"), F.col("lat").alias("lat_y"), "lonely")
-    x = lone.join(some, "k").filter((F.col("i_x.src") != F.col("i_y.src")) & (~F.col("lonely") | (F.col("i_x.src") < F.col("i_y.src"))))
-    real = lambda lo, la: (F.when(~((lo == 0) & (la == 0)), la))
-    gap = F.abs(F.coalesce(real(F.coalesce("lon_x", F.lit(1.0)), F.col("lat_x")) - real(F.coalesce("lon_y", F.lit(1.0)), F.col("lat_y")), F.lit(0.0))) * M_PER_DEG
+    lone = keys.filter("lonely").select("k", F.explode(three).alias("t"), F.col("i").alias("i_x"), F.col("words").alias("words_x"), F.col("la").alias("la_x"), F.col("lo").alias("lo_x"))
+    some = keys.join(lone.select("k").distinct(), "k", "left_semi").select("k", F.explode(every).alias("t"), F.col("i").alias("i_y"), F.col("words").alias("words_y"), F.col("la").alias("la_y"), F.col("lo").alias("lo_y"), "lonely")
+    x = lone.join(some, ["k", "t"]).filter((F.col("i_x.src") != F.col("i_y.src")) & (~F.col("lonely") | (F.col("i_x.src") < F.col("i_y.src"))))
+    apart = F.abs(F.col("lo_x") - F.col("lo_y"))
+    narrow = F.greatest(F.cos(F.radians(F.coalesce("la_y", F.lit(90.0)))), F.lit(0.01))  # no lat on either side: as lenient as can be
+    gap = F.coalesce(F.abs(F.col("la_x") - F.col("la_y")), F.least(apart, 360 - apart) * narrow, F.lit(0.0)) * M_PER_DEG
     x = x.filter(gap <= rules.reach).dropDuplicates(["i_x", "i_y"])
     first = F.col("i_x.src") < F.col("i_y.src")
     pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))

@@ -69,3 +69,11 @@ def test_rivals_and_empty_tables(spark):
     assert [(x.key_a, x.key_b) for x in got] == [(1, 2)]
     assert link([("a", d([])), ("b", d(b))]).count() == 0
     assert link([("a", d([])), ("b", d([]))]).count() == 0
+
+
+def test_the_coordinate_left_singles_out_one_of_many_of_a_name(spark):
+    a = [(1, "Neustadt", None, 48.0, "", 0.0), (2, "Altstadt", 179.999, None, "", 0.0)]
+    b = [(10 + i, "Neustadt", 7.0 + i, 46.0 + i * 0.5, "", 0.0) for i in range(8)] + [(20 + i, "Altstadt", -179.999 + i, 47.0 + i, "", 0.0) for i in range(8)]
+    b += [(10, "Neustadt", 7.0 + i * 1e-5, 46.0, "", 0.0) for i in range(1, 6)]
+    d = lambda rows: spark.createDataFrame(rows, S)
+    assert {(x.key_a, x.key_b) for x in link([("a", d(a)), ("b", d(b))]).collect()} == {(1, 14), (2, 20)}
