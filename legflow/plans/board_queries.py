@@ -97,11 +97,17 @@ def lnk06_bridge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lnk05_one_per_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs and trips of one number within an hour of each other as links between journeys."""
-    num = lambda c: F.ltrim(F.regexp_extract(c, r"([0-9]+)[^0-9]*$", 1), F.lit("0"))
+    num = lambda c: F.coalesce(F.nullif(F.ltrim(F.regexp_extract(c, r"([0-9]+)[^0-9]*$", 1), F.lit("0")), F.lit("")), F.lit("0"))
+    sec = lambda c: F.when(F.col(c) > 100_000_000_000, F.floor(F.col(c) / 1000)).otherwise(F.col(c)).cast("bigint")
     hour = F.floor(F.col("t") / 3600)
-    a = table(spark, sf_dir, "at_runs").distinct().filter("t_a < 100000000000").select(num("num").alias("n"), F.col("rid").cast("string").alias("journey_a"), F.col("t_a").alias("t")).withColumn("h", hour)
-    b = table(spark, sf_dir, "at_trips").distinct().select(num("num").alias("n"), F.col("trip_id").alias("journey_b"), F.col("t_first").alias("t")).withColumn("h", hour)
-    x = a.join(b.withColumnRenamed("t", "u"), ["n", "h"]).select(F.date_from_unix_date(F.floor(F.col("t") / 86400).cast("int")).alias("day"), "journey_a", "journey_b", F.lit("bridge").alias("kind"), F.abs(F.col("t") - F.col("u")).alias("dur"))
+    # a run without its first time is compared by its last, as in p7_found
+    by_end = F.col("t_a").isNull()
+    a = table(spark, sf_dir, "at_runs").filter("num RLIKE '[0-9]'").select(num("num").alias("n"), F.col("rid").cast("string").alias("journey_a"), by_end.alias("by_end"), F.coalesce(sec("t_a"), sec("t_b")).alias("t")).filter("t IS NOT NULL").distinct()
+    b = table(spark, sf_dir, "at_trips").filter("num RLIKE '[0-9]'").select(num("num").alias("n"), F.col("trip_id").alias("journey_b"), F.explode(F.array(F.struct(F.lit(False).alias("by_end"), sec("t_first").alias("t")), F.struct(F.lit(True).alias("by_end"), sec("t_last").alias("t")))).alias("e")).select("n", "journey_b", "e.*").filter("t IS NOT NULL").distinct()
+    a = a.withColumn("h", F.explode(F.array(hour - 1, hour, hour + 1)))
+    b = b.withColumn("h", hour).withColumnRenamed("t", "u")
+    x = a.join(b, ["n", "by_end", "h"]).filter(F.abs(F.col("t") - F.col("u")) <= 3600)
+    x = x.select(F.date_from_unix_date(F.floor(F.col("t") / 86400).cast("int")).alias("day"), "journey_a", "journey_b", F.lit("bridge").alias("kind"), F.abs(F.col("t") - F.col("u")).alias("dur"))
     return K.one_per_end(x)
 
 

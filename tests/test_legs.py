@@ -133,3 +133,15 @@ def test_routes_over_a_small_graph(spark):
     assert p[1, 0.25] == (0.5, 0.0, 90) and p[1, 1.0] == (1.0, 1.0, 0) == p[1, 2.0] and p[2, 0.5] == (5.0, 5.0, None)
     zig = np.array([(x, 20 * (x % 2)) for x in range(0, 100)], dtype=float)
     assert len(G.simplified(zig, 25.0)) == 2 and len(G.simplified(zig, 1.0)) == 100 and math.isclose(1, 1)
+
+
+def test_runs_and_trips_within_an_hour(spark, tmp_path):
+    from legflow.plans.board_queries import lnk05_one_per_end
+
+    at = 1_515_571_200  # a full hour
+    runs = [(1, "R 07", at - 60, None), (2, "8", (at - 60) * 1000, None), (3, "9", None, at + 60), (4, "10", at - 60, None), (5, "11", at - 1800, None), (6, "x", at, at)]
+    trips = [("a", "7", at + 60, at + 9000), ("b", "8", at + 60, at + 9000), ("c", "9", at - 9000, at - 60), ("d", "10", at + 3541, at + 9000), ("e", "11", at + 1800, None), ("f", "y", at, at)]
+    spark.createDataFrame(runs, "rid long, num string, t_a long, t_b long").write.parquet(f"{tmp_path}/at_runs.parquet")
+    spark.createDataFrame(trips, "trip_id string, num string, t_first long, t_last long").write.parquet(f"{tmp_path}/at_trips.parquet")
+    got = {(x.journey_a, x.journey_b, x.dur) for x in lnk05_one_per_end(spark, str(tmp_path)).collect()}
+    assert got == {("1", "a", 120), ("2", "b", 120), ("3", "c", 120), ("5", "e", 3600)}
