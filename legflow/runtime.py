@@ -54,7 +54,7 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 @atexit.register
