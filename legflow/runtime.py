@@ -42,18 +42,24 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed with the tables of cut()."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back: lineage ends there, a lost executor costs nothing.
 
     Against checkpoint() the plan runs once rather than twice, and later readers prune columns.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = scratch(spark, "cut")
     w = df.write.mode("errorifexists")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 

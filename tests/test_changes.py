@@ -56,11 +56,47 @@ def test_table_appends_reads_and_compacts(spark, tmp_path):
     read = lambda: sorted(((r.k, r.v) for r in t.read().collect()), key=str)
     assert read() == sorted(want, key=str)
     t.compact()
-    assert t.generation() != "g0" and read() == sorted(want, key=str)
+    assert len(t.parts()) == 1 and read() == sorted(want, key=str)
     t.append(feed([(3, "late", 8, False), (1, "y", 10, False)]), "n", F.col("gone"))
     assert read() == sorted([(None, "n"), (1, "y"), (2, "b")], key=str)
 
 
+def test_half_an_append_and_one_beside_a_compaction(spark, tmp_path, monkeypatch):
+    t = DeltaTable(spark, str(tmp_path / "t"), ["k"], ["v"])
+    feed = lambda rows: spark.createDataFrame(rows, "k int, v string, n long, gone boolean")
+    read = lambda: sorted((r.k, r.v) for r in t.read().collect())
+    t.append(feed([(1, "a", 1, False), (2, "b", 1, False)]), "n", F.col("gone"))
+    lost = t.stage(feed([(1, "never", 2, False), (2, None, 2, True)]), "n", F.col("gone"))  # the writer dies before its commit
+    assert read() == [(1, "a"), (2, "b")]
+    t.append(feed([(1, "c", 3, False)]), "n", F.col("gone"))
+    assert read() == [(1, "c"), (2, "b")]
+    commit = t._commit
+
+    def beside(part, replaced=()):
+        monkeypatch.setattr(t, "_commit", commit)
+        t.append(feed([(2, None, 4, True), (3, "d", 1, False)]), "n", F.col("gone"))  # while the compaction is at work
+        commit(part, replaced)
+
+    monkeypatch.setattr(t, "_commit", beside)
+    t.compact()
+    assert read() == [(1, "c"), (3, "d")] and len(t.parts()) == 2
+    assert lost in t.vacuum() and read() == [(1, "c"), (3, "d")]
+    t.compact()
+    t.append(feed([(3, "old", 0, False), (2, "old", 3, False)]), "n", F.col("gone"))  # late rows stay hidden
+    assert read() == [(1, "c"), (3, "d")]
+
+
+def test_calls_go_through_data_and_delete_files(spark, monkeypatch):
+    import legflow.operators.changes as C
+
+    made = []
+    scratch = C.scratch
+    monkeypatch.setattr(C, "scratch", lambda sp, n: made.append(scratch(sp, n)) or made[-1])
+    assert found(spark, [s("2018-01-01T08:00:00Z", "1", "A", "10:00")], [a("2018-01-01T10:00:00Z", "1", "A", "10:00", arr="1")]) == [("1", "A", "10:00", "1", "")]
+    for table in ("schedules", "actuals"):
+        assert DeltaTable(spark, f"{made[0]}/{table}", [], []).parts()
+
+
 def test_stream_into_table(spark, tmp_path):
     from legflow.streaming.feeds import counts, into_table
 
