@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 
 from legflow.runtime import broadcast_checked, cut
 
-BITS = (16, 18, 20)  # of the tables of one, two and three characters: together 5.5 MB
+BITS = (16, 18, 20)  # of the tables of one, two and three characters: together 11 MB
 WEIGHTS = (0.05, 0.25, 0.7)
 UNSEEN = 1e-7
 LONGEST = 400  # a longer word is taken as several, its stretches of at most so many characters
-MARGIN_FLOOR, MARGIN_CEILING = 4.0, 14.0
+UNTRIED = 4.0  # margin where there is nothing to validate one on: no clean record held out, or no word to garble
+STEPS = [t / 4 for t in range(1, 121)]  # margins tried
 CLEANING = (4.0, 3.0)  # margins of the passes that only clean the training set: too many records left out do no harm
 PLAUSIBLE = -5.2  # least mean log-likelihood a character of a restored word
 HELD_OUT = 20  # one in so many clean records validates the margin instead of training
@@ -40,6 +41,7 @@ ONE_BYTE = tuple(
 ONE_BYTE = tuple(p for p in ONE_BYTE if set(p) not in ({"cp1252", "cp1254"}, {"cp1252", "iso8859-15"}, {"cp437", "cp850"}, {"cp850", "cp852"}, {"cp1250", "iso8859-2"}))
 ODD = re.compile(r"[^\x00-\x7f]+")
 LOST = "�"
+BLANK = "\u00a0"
 CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
 
 
@@ -116,27 +118,48 @@ def _utf8_once(word: str) -> list[str]:
 def candidates(word: str) -> list[tuple[str, bool]]:
     """(text, strict) that encode-decode chains make of a word; strict: at least one step read UTF-8 back.
 
-    Up to three UTF-8 steps, each also followed by a one-byte step; a final blank lost from a no-break space is allowed for.
+    All chains of up to three UTF-8 steps, each also followed by a one-byte step, and the one-byte steps alone. Where the
+    word's end was a no-break space, text tools may have taken it off: each step is also tried with it put back.
     """
     found: dict[str, bool] = {}
+
+    def one_byte(w: str, strict: bool) -> None:
+        codes = {ord(c) for c in w if ord(c) > 127}
+        for wrong, right in ONE_BYTE:
+            table = _one_byte(wrong, right)
+            if codes and codes <= table.keys():
+                x = w.translate(table)
+                if x != word and LOST not in x and not CONTROL.search(x):
+                    found.setdefault(x, strict)
+
     layer = [word]
     for _ in range(3):
-        layer = [c for w in layer for c in _utf8_once(w) if c not in found and c != word][:12]
-        found.update(dict.fromkeys(layer, True))
+        longer = [(c, True) for w in layer for c in _utf8_once(w)] + [(c, False) for w in layer for c in _utf8_once(w + BLANK) if not c.endswith(BLANK)]
+        fresh = {c: strict for c, strict in reversed(longer) if c != word and c not in found}
+        found.update(fresh)
+        layer = list(fresh)
         if not layer:
             break
-    if word.endswith("Ã") and len(word) > 1:
-        found.setdefault(word[:-1] + "à", False)
-    codes = {ord(c) for c in word if ord(c) > 127}
-    for wrong, right in ONE_BYTE:
-        table = _one_byte(wrong, right)
-        if codes <= table.keys():
-            w = word.translate(table)
-            if w != word and LOST not in w and not CONTROL.search(w):
-                found.setdefault(w, False)
+    for w, strict in [(word, False), *found.items()]:
+        one_byte(w, strict)
     return list(found.items())
 
 
+def garbled_by(word: str, chain: int) -> str | None:
+    """The word as the chain-th of all single steps garbles it: its bytes in one encoding read as another; None if it cannot."""
+    if chain < len(UTF8_READ_AS):
+        raw, wrong = word.encode("utf-8"), UTF8_READ_AS[chain]
+    else:
+        wrong, right = ONE_BYTE[chain - len(UTF8_READ_AS)]
+        try:
+            raw = word.encode(right)
+        except UnicodeEncodeError:
+            return None
+    back = {b: c for c, b in _to_byte(wrong).items()}
+    out = "".join(chr(b) if b < 128 else back.get(b, LOST) for b in raw)
+    return out if out != word and LOST not in out and not CONTROL.search(out) and not re.search(r"\s", out) else None
+
+
 def is_strict(word: str) -> bool:
     """A word whose odd characters are UTF-8 read as something else, or that holds a character no text is written with."""
     return LOST in word or bool(CONTROL.search(word)) or any(CONTROL.search(c) is None and LOST not in c for c in _utf8_once(word))
@@ -232,6 +255,9 @@ class Model:
     n2: np.ndarray
     n3: np.ndarray
 
+    def __sub__(self, other: Model) -> Model:
+        return Model(self.n1 - other.n1, self.n2 - other.n2, self.n3 - other.n3)
+
     def loglik(self, texts: list[str]) -> np.ndarray:
         """Natural log-likelihood of each text as a word."""
         if not texts:
@@ -268,7 +294,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def train(word_counts: DataFrame) -> Model:
     """The model of (word, n); only the slots' sums, of bounded number, reach the driver."""
     rows = word_counts.select("word", "n").mapInPandas(_count, "k int, slot long, n long").groupBy("k", "slot").agg(F.sum("n").alias("n")).toPandas()
-    tables = [np.zeros(1 << b, dtype=np.float32) for b in BITS]
+    tables = [np.zeros(1 << b, dtype=np.float64) for b in BITS]  # sums of whole numbers stay exact
     for k in range(3):
         x = rows[rows["k"] == k]
         tables[k][x["slot"].to_numpy()] = x["n"].to_numpy()
@@ -323,12 +349,53 @@ def _rows_with(occ: DataFrame, words: DataFrame) -> DataFrame:
 
 @dataclass
 class Garbled:
-    """documents: _row, _key, _w (words by position); words: accepted (word, fixed, gain, lost); rows: affected _row."""
+    """documents: _row, _key, _w (words by position); words: accepted (word, fixed, gain, lost); rows: affected _row.
+
+    margin, miss, wrong: the margin, and on the held-out records the share of garbled words below it and of clean records
+    with a word above it (nan where nothing could be held out).
+    """
 
     documents: DataFrame
     words: DataFrame
     rows: DataFrame
     margin: float
+    miss: float
+    wrong: float
+
+
+def validated_margin(clean: DataFrame, scored: DataFrame, model: Model) -> tuple[float, float, float]:
+    """(margin, miss, wrong) from held-out records: the margin at which the share of garbled words missed and the share of
+    clean records that would be changed are least together; of all margins within a standard error of that the middle.
+
+    clean: _row, word of held-out records that no structural sign of garbling excludes; scored: word, gain of their words.
+    Each of their words is garbled by one chain, told by its hash, so the words to be missed are known.
+    """
+    rows = clean.join(scored.select("word", F.coalesce("gain", F.lit(-99.0)).alias("gain")), "word").groupBy("_row").agg(F.max("gain").alias("gain"))
+    chains = len(UTF8_READ_AS) + len(ONE_BYTE)
+
+    def garble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = [garbled_by(w, int(k)) for w, k in zip(b["word"], b["k"])]
+            yield pd.DataFrame({"word": [w for w in x if w]})
+
+    words = clean.select("word").distinct().select("word", F.pmod(F.xxhash64("word"), F.lit(chains)).alias("k"))
+    bad = score(proposed(words.mapInPandas(garble, "word string").distinct()), model).select(F.coalesce("gain", F.lit(-99.0)).alias("gain"))
+
+    def above(d: DataFrame) -> tuple[int, np.ndarray]:
+        """How many there are, and how many lie above each of the margins tried."""
+        r = d.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("gain") > t).alias(f"t{i}") for i, t in enumerate(STEPS)]).first()
+        return r["n"], np.array(r[1:], dtype=float)
+
+    (n, wrong), (m, hit) = above(rows), above(bad)
+    if not n or not m:
+        return UNTRIED, float("nan"), float("nan")
+    wrong, miss = wrong / n, 1 - hit / m
+    both = wrong + miss
+    k = int(both.argmin())
+    error = float(np.sqrt(wrong[k] * (1 - wrong[k]) / n + miss[k] * (1 - miss[k]) / m))
+    near = np.flatnonzero(both <= both[k] + error)
+    at = int(near[np.abs(near - (near[0] + near[-1]) / 2).argmin()])
+    return STEPS[at], float(miss[at]), float(wrong[at])
 
 
 def find(documents: DataFrame, key: str, text: str) -> Garbled:
@@ -338,10 +405,12 @@ def find(documents: DataFrame, key: str, text: str) -> Garbled:
     2. A model of the words of records without them scores every chain of every such word; records with a word that gains
        more than a margin of CLEANING leave the training set, and a model of the rest does the same with the next margin:
        garbled words that were learnt as words lose their support.
-    3. A model of the remaining (clean) records, less one in HELD_OUT; on the words of the held-out ones the margin is set:
-       the gain all but one in a thousand of their distinct words stay below, within MARGIN_FLOOR and MARGIN_CEILING.
-    4. A word is accepted if it gains more than the margin, or holds a replacement or control character.
-    A word over LONGEST characters counts as several, its stretches: each is learnt, scored and restored by itself.
+    3. A model of the remaining (clean) records, less one in HELD_OUT; on the held-out ones, which no score has chosen, the
+       margin is validated, see validated_margin().
+    4. A word is accepted if it gains more than the margin, or holds a replacement or control character (lost: what stood
+       there is gone, so no model is asked).
+    Models are sums over words, so the corpus is counted once and what leaves it is subtracted. A word over LONGEST
+    characters counts as several, its stretches: each is learnt, scored and restored by itself.
     Null and empty texts, and texts in ASCII, are never affected. Every count runs over the whole corpus and whole texts.
     """
     split = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"\S+"), F.lit(0))
@@ -357,20 +426,19 @@ def find(documents: DataFrame, key: str, text: str) -> Garbled:
     suspects = cut(_rows_with(occ, proposals.filter("strict")))
     held = F.pmod(F.xxhash64("_row"), F.lit(HELD_OUT)) == 0
 
-    def clean_counts(bad: DataFrame) -> DataFrame:
-        kept = docs.join(bad, "_row", "left_anti").filter(~held)
-        return kept.select(F.explode("_w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    def counted(rows: DataFrame) -> Model:
+        return train(rows.filter(~held).select(F.explode("_w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
 
+    whole = counted(docs)
     bad = suspects
     for least in CLEANING:
-        scored = cut(score(proposals, train(clean_counts(bad))))
+        scored = cut(score(proposals, whole - counted(docs.join(bad, "_row", "left_semi"))))
         bad = cut(_rows_with(occ, scored.filter((F.col("gain") > least) | F.col("lost"))).union(suspects).distinct())
-    scored = cut(score(proposals, train(clean_counts(bad))))
-    fresh = occ.join(bad, "_row", "left_anti").filter(held).select("word").distinct()
-    level = fresh.join(scored, "word").select(F.coalesce("gain", F.lit(-99.0)).alias("gain")).agg(F.percentile("gain", 0.999)).first()[0]
-    margin = min(MARGIN_CEILING, max(MARGIN_FLOOR, level if level is not None else MARGIN_FLOOR))
+    model = whole - counted(docs.join(bad, "_row", "left_semi"))
+    scored = cut(score(proposals, model))
+    margin, miss, wrong = validated_margin(occ.filter(held).join(suspects, "_row", "left_anti"), scored, model)
     accepted = cut(scored.filter((F.col("gain") > margin) | F.col("lost")))
-    return Garbled(docs, accepted, cut(_rows_with(occ, accepted)), margin)
+    return Garbled(docs, accepted, cut(_rows_with(occ, accepted)), margin, miss, wrong)
 
 
 def affected(documents: DataFrame, key: str, text: str) -> DataFrame:
@@ -380,9 +448,10 @@ def affected(documents: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def restored(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """key, text, restored, complete of the affected documents: the text with accepted words replaced.
+    """key, text, restored, complete, by_model of the affected documents: the text with accepted words replaced.
 
     complete is false where a character is gone for good; such words stay as they are unless a chain explains the rest.
+    by_model is false where the document holds nothing but such words, so that no model was asked.
     """
     g = find(documents, key, text)
     rows = documents.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(g.documents.join(g.rows, "_row", "left_semi").select("_key").distinct(), F.col("_k").eqNullSafe(F.col("_key")), "left_semi")
@@ -390,6 +459,6 @@ def restored(documents: DataFrame, key: str, text: str) -> DataFrame:
     split = cut(rows.select("_id", F.regexp_extract_all("_t", F.lit(r"\S+|\s+"), F.lit(0)).alias("_w")))
     parts = _stretched(split, "_w").select("_id", F.posexplode("_w").alias("pos", "word"))
     fix = g.words.select("word", F.when(F.col("gain") > g.margin, F.col("fixed")).alias("fixed"), (F.col("lost") & ~F.coalesce(F.col("gain") > g.margin, F.lit(False))).alias("gone"))
-    joined = parts.join(fix, "word", "left").select("_id", "pos", F.coalesce("fixed", "word").alias("w"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    out = joined.groupBy("_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda p: p["w"]), "").alias("restored"), (~F.max("gone")).alias("complete"))
-    return rows.join(out, "_id").select(F.col("_k").alias(key), F.col("_t").alias(text), "restored", "complete").distinct()
+    joined = parts.join(fix, "word", "left").select("_id", "pos", F.coalesce("fixed", "word").alias("w"), F.coalesce("gone", F.lit(False)).alias("gone"), F.col("fixed").isNotNull().alias("modelled"))
+    out = joined.groupBy("_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda p: p["w"]), "").alias("restored"), (~F.max("gone")).alias("complete"), F.max("modelled").alias("by_model"))
+    return rows.join(out, "_id").select(F.col("_k").alias(key), F.col("_t").alias(text), "restored", "complete", "by_model").distinct()
