@@ -16,7 +16,7 @@ def _joined(left: Column, right: Column) -> Column:
     return F.when(a["p"].eqNullSafe(b["p"]), merged).otherwise(F.concat(left, right))
 
 
-def coalesce_history(units: DataFrame, entity: str, day: str, payload: list[str]) -> DataFrame:
+def coalesce_history(units: DataFrame, entity: str, day: str, payload: list[str], days: DataFrame | None = None) -> DataFrame:
     """Periods of unchanged payload: entity, payload columns, valid_from, valid_to (dates).
 
     units: at most one row per (entity, day), day of type date; more than one raises no error, the rows of a day then
@@ -27,7 +27,8 @@ def coalesce_history(units: DataFrame, entity: str, day: str, payload: list[str]
     out; null payload values are values.
     """
     u = units.filter(F.col(entity).isNotNull() & F.col(day).isNotNull())
-    lo, hi = u.agg(F.min(F.unix_date(day)), F.max(F.unix_date(day))).first()
+    # of the days alone, which the source's own column gives where the caller names it: no part of the plan runs twice
+    lo, hi = (u if days is None else days.select(F.col(day))).agg(F.min(F.unix_date(day)), F.max(F.unix_date(day))).first()
     rounds = 0 if lo is None else int(hi - lo).bit_length()
     p = F.struct(*[F.col(c).alias(c) for c in payload])
     x = u.repartition(F.col(entity)).select(
@@ -79,4 +80,4 @@ def stations_of_snapshots(stops: DataFrame) -> DataFrame:
 
 def station_history(stops: DataFrame) -> DataFrame:
     """bpuic, name, lat, lon, valid_from, valid_to of station listings; see the two functions above."""
-    return coalesce_history(stations_of_snapshots(stops), "bpuic", "snap", ["name", "lat", "lon"])
+    return coalesce_history(stations_of_snapshots(stops), "bpuic", "snap", ["name", "lat", "lon"], stops)

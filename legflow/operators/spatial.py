@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 EARTH_M = 6_371_000.0
 M_PER_DEG = math.radians(1) * EARTH_M
+POLYGON_M, POLYGON_LAT = 5_000.0, 70.0  # circles up to this size and latitude fit into a polygon drawn 2 % too large
 
 
 def great_circle_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: float = EARTH_M) -> Column:
@@ -56,6 +57,19 @@ def ring_edges(regions: DataFrame, region: str, ring: str) -> DataFrame:
     return e.select("_r", "_copy", "xmin", (F.col("e.a.lon") + c).alias("x0"), F.col("e.a.lat").alias("y0"), (F.col("e.b.lon") + c).alias("x1"), F.col("e.b.lat").alias("y1"))
 
 
+def _side(x0: Column, y0: Column, x1: Column, y1: Column, x: Column, y: Column) -> Column:
+    """1, 0 or -1: a point is to the left of the line from (x0, y0) to (x1, y1), on it, or to its right.
+
+    The cross product in floating point decides where it is further from 0 than its rounding error; else it is worked out
+    again in decimals of 14 places, so that coordinates that are written on a line are on it.
+    """
+    a, b = (x1 - x0) * (y - y0), (x - x0) * (y1 - y0)
+    dec = lambda c: c.cast("decimal(17,14)")
+    exact = (dec(x1) - dec(x0)) * (dec(y) - dec(y0)) - (dec(x) - dec(x0)) * (dec(y1) - dec(y0))
+    sure = F.abs(a - b) > 1e-11 * (1 + F.abs(a) + F.abs(b))
+    return F.when(sure, F.signum(a - b)).otherwise(F.signum(exact.cast("double"))).cast("int")
+
+
 def points_in_regions(
     points: DataFrame, point: str, regions: DataFrame, region: str, ring: str, strip_deg: float, boundary: bool = True, lon: str = "lon", lat: str = "lat"
 ) -> DataFrame:
@@ -74,9 +88,10 @@ def points_in_regions(
     p = p.withColumn("_s", _strip(F.col("_y"), strip_deg)).withColumn("_b", _bin(F.col("_x"), F.col("_s"), strip_deg))
     x, y, x0, y0, x1, y1 = map(F.col, ("_x", "_y", "x0", "y0", "x1", "y1"))
     spans = (F.least(y0, y1) <= y) & (y < F.greatest(y0, y1))
-    at = x0 + (y - y0) / F.when(y1 != y0, y1 - y0) * (x1 - x0)  # where the ray's latitude meets the edge
-    on = F.when(y0 == y1, (y == y0) & x.between(F.least(x0, x1), F.greatest(x0, x1))).otherwise(y.between(F.least(y0, y1), F.greatest(y0, y1)) & (at == x))
-    cross = spans & (at > x)
+    side = _side(x0, y0, x1, y1, x, y)
+    up = F.when(y1 > y0, 1).otherwise(-1)
+    on = (side == 0) & x.between(F.least(x0, x1), F.greatest(x0, x1)) & y.between(F.least(y0, y1), F.greatest(y0, y1))
+    cross = spans & (side * up > 0)  # the edge lies to the east
     hits = p.join(e, ["_s", "_b"]).select("_p", "_r", "_copy", F.coalesce(cross, F.lit(False)).alias("c"), F.coalesce(on, F.lit(False)).alias("o")).filter("c OR o")
     g = hits.groupBy("_p", "_r", "_copy").agg(F.sum(F.col("c").cast("int")).alias("n"), F.max("o").alias("o"))
     inside = (F.col("n") % 2 == 1) & ~F.col("o")
@@ -84,19 +99,14 @@ def points_in_regions(
 
 
 def circle_ring(lon: Column, lat: Column, radius_m: float, corners: int = 6) -> Column:
-    """Ring around the great circle of a point: corners lie so far out that no edge cuts the circle.
+    """Ring around the great circle of a point: no edge cuts the circle.
 
-    Edges are straight in degrees, so 2 % are added; above 80° of latitude, where that would not do, the ring is the band
-    between the circle's latitudes over its longitudes, or over all of them when it holds the pole.
+    Edges are straight in degrees and great circles are not, the more the larger and the nearer to a pole, so the polygon,
+    drawn 2 % too large, serves circles under POLYGON_M below POLYGON_LAT; for others the ring is the band between the
+    circle's latitudes over its longitudes, or over all of them when it holds a pole.
     """
     d = radius_m / math.cos(math.pi / corners) * 1.02 / EARTH_M
     la, lo = F.radians(lat), F.radians(lon)
-    ring = []
-    for k in range(corners):
-        b = 2 * math.pi * k / corners
-        y = F.asin(F.sin(la) * math.cos(d) + F.cos(la) * math.sin(d) * math.cos(b))
-        dx = F.atan2(math.sin(b) * math.sin(d) * F.cos(la), math.cos(d) - F.sin(la) * F.sin(y))
-        ring.append(F.struct(F.degrees(lo + dx).alias("lon"), F.degrees(y).alias("lat")))
     deg = math.degrees(d)
     half = F.when(F.abs(lat) + deg >= 89.999, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), math.sin(d) / F.greatest(F.cos(la), F.lit(1e-12))))))
     top = F.when(half == 180, F.least(lat + deg, F.lit(90.0001))).otherwise(lat + deg)
@@ -104,7 +114,15 @@ def circle_ring(lon: Column, lat: Column, radius_m: float, corners: int = 6) ->
     mid = F.when(half == 180, F.lit(0.0)).otherwise(lon)
     corner = lambda x, y: F.struct(x.alias("lon"), y.alias("lat"))
     band = F.array(corner(mid - half, bottom), corner(mid + half, bottom), corner(mid + half, top), corner(mid - half, top))
-    return F.when(F.abs(lat) > 80, band).otherwise(F.array(*ring))
+    if radius_m > POLYGON_M:
+        return band
+    ring = []
+    for k in range(corners):
+        b = 2 * math.pi * k / corners
+        y = F.asin(F.sin(la) * math.cos(d) + F.cos(la) * math.sin(d) * math.cos(b))
+        dx = F.atan2(math.sin(b) * math.sin(d) * F.cos(la), math.cos(d) - F.sin(la) * F.sin(y))
+        ring.append(corner(F.degrees(lo + dx), F.degrees(y)))
+    return F.when(F.abs(lat) > POLYGON_LAT, band).otherwise(F.array(*ring))
 
 
 def near_pairs(points: DataFrame, key: str, radius_m: float, lon: str = "lon", lat: str = "lat") -> DataFrame:

@@ -44,3 +44,32 @@ def test_crossing_parity_with_holes_corners_and_edges(spark):
 def test_empty(spark):
     assert near_pairs(spark.createDataFrame([], P), "id", 300.0).count() == 0
     assert near_pairs(spark.createDataFrame([(1, None, None, "", 0)], P).withColumn("x", F.lit(1)), "id", 300.0).count() == 0
+
+
+def test_points_written_on_an_edge_are_on_it(spark):
+    """Corners and points in tenths: a float division would take many of them as off the edge."""
+    r = random.Random(9)
+    tri, pts = [], []
+    for k in range(40):
+        a, b = [(r.randint(-300, 300), r.randint(-300, 300)) for _ in range(2)]
+        n = r.randint(2, 9)
+        b = (a[0] + n * (b[0] // 10), a[1] + n * (b[1] // 10 or 1))
+        on = (a[0] + (b[0] - a[0]) // n, a[1] + (b[1] - a[1]) // n)
+        tri.append((f"t{k}", [{"lon": x / 10, "lat": y / 10} for x, y in (a, b, (a[0] + 701, a[1]))]))
+        pts.append((k, on[0] / 10, on[1] / 10, "z", 0))
+    regions = spark.createDataFrame(tri, "name string, g array<struct<lon: double, lat: double>>").filter("true")
+    p = spark.createDataFrame([x for x in pts if (x[1], x[2]) != (0, 0)], P)
+    pairs = lambda **k: {tuple(x) for x in points_in_regions(p, "id", regions, "name", "g", 5.0, **k).collect()}
+    both, inner = pairs(), pairs(boundary=False)
+    for k, x, y, *_ in pts:
+        if (x, y) != (0, 0):
+            assert (k, f"t{k}") in both and (k, f"t{k}") not in inner
+
+
+def test_large_circles_near_the_pole_lose_no_pair(spark):
+    r = random.Random(2)
+    for lat0, radius in ((70.0, 500_000.0), (79.9, 200_000.0), (50.0, 4_900.0)):
+        deg = 1.5 * radius / 111_195
+        rows = [(i, (20 + r.uniform(-deg, deg) / math.cos(math.radians(lat0)) + 180) % 360 - 180, min(90.0, lat0 + r.uniform(-deg, deg))) for i in range(60)]
+        got = {tuple(x) for x in near_pairs(spark.createDataFrame([(*x, "z", 1) for x in rows], P), "id", radius).collect()}
+        assert got == {(b[0], a[0]) for i, a in enumerate(rows) for b in rows[:i] if metres(a, b) <= radius}
