@@ -95,9 +95,9 @@ def _kind(v: Column) -> Column:
 
 
 def _shape(v: Column) -> Column:
-    """A value's form: 9 for digits and a for letters, short runs by length; long values by their first 40 marks."""
-    s = F.regexp_replace(F.regexp_replace(F.substring(v, 1, 40), r"[\p{L}]+", "a"), "[0-9]", "9")
-    return F.regexp_replace(s, "9{7,}", "9*")
+    """A value's form: 9 for digits and a for letters, short runs by length; of a long form its hash."""
+    s = F.regexp_replace(F.translate(F.regexp_replace(v, r"[\p{L}]+", "a"), "012345678", "999999999"), "9{7,}", "9*")
+    return F.when(F.length(s) > 40, F.hex(F.xxhash64(s))).otherwise(s)
 
 
 def _exploded(rows: DataFrame) -> DataFrame:
@@ -105,8 +105,8 @@ def _exploded(rows: DataFrame) -> DataFrame:
     return v.select("feed", "file_name", F.col("z.name").alias("name"), F.col("z.v").alias("v"))
 
 
-def profiles(rows: DataFrame) -> DataFrame:
-    """feed, file_name, name, type, n, shapes (map) of every column of every file.
+def profiles(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(columns, forms): feed, file_name, name, type, n of every column of every file; shape, k of its values, n.
 
     Values are pre-aggregated by (column, kind, form). Whole numbers only of 0 and 1 are boolean. type is null without values.
     """
@@ -114,9 +114,6 @@ def profiles(rows: DataFrame) -> DataFrame:
     key = ["feed", "file_name", "name"]
     cells = cut(v.groupBy(*key, "kind", "shape").agg(F.sum(F.col("has").cast("int")).alias("n")))
     kinds = cells.groupBy(*key).agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in (*NOTATIONS, "text")])
-    forms = cells.filter("n > 0").groupBy(*key, "shape").agg(F.sum("n").alias("k"))
-    top = Window.partitionBy(*key).orderBy(F.desc("k"), "shape")
-    forms = forms.withColumn("r", F.row_number().over(top)).filter("r <= 32").groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("shape", "k"))).alias("shapes"))
     ok = lambda *ks: sum(F.col(k) for k in ks) >= F.lit(TYPE_SHARE) * F.col("n")
     kind = (
         F.when(F.col("n") == 0, None)
@@ -127,23 +124,26 @@ def profiles(rows: DataFrame) -> DataFrame:
         .when(ok("time"), "time")
         .otherwise("text")
     )
-    out = join_null_safe(kinds, forms, key, "left")
-    return out.select(*key, kind.alias("type"), "n", "shapes")
+    return kinds.select(*key, kind.alias("type"), "n"), cells.filter("n > 0").groupBy(*key, "shape").agg(F.sum("n").alias("k"))
 
 
-def shares(heads: DataFrame, values: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """feed, file_name, shared (list of old, new, share): of each column gone and each new one in a file, what share of the
-    distinct values of the one that has fewer is in the other.
-
-    values: headers -> parsed lines of these files. Counted, not estimated: from sketches of a fixed size nothing can be
-    said of a small column in a large one. Only columns that come or go are read; numbers are compared by value (2011.0 as
-    2011).
-    """
+def _open_sides(heads: DataFrame) -> DataFrame:
+    """feed, file_name, name, to_file, old: the columns gone (in the file before) and new (in the file itself) of each file."""
     w = Window.partitionBy("feed").orderBy(F.col("published_at").asc_nulls_first(), "file_name")
     step = heads.select("feed", "file_name", "names", F.lag("names").over(w).alias("before"), F.lag("file_name").over(w).alias("last")).filter("last IS NOT NULL")
     step = step.select("feed", "file_name", "last", F.array_except("before", "names").alias("gone"), F.array_except("names", "before").alias("new")).filter((F.size("gone") > 0) & (F.size("new") > 0))
     old = step.select("feed", F.col("last").alias("file_name"), F.explode("gone").alias("name"), F.col("file_name").alias("to_file"), F.lit(True).alias("old"))
-    sides = cut(old.unionByName(step.select("feed", "file_name", F.explode("new").alias("name"), F.col("file_name").alias("to_file"), F.lit(False).alias("old"))))
+    return old.unionByName(step.select("feed", "file_name", F.explode("new").alias("name"), F.col("file_name").alias("to_file"), F.lit(False).alias("old")))
+
+
+def shares(heads: DataFrame, sides: DataFrame, forms: DataFrame, values: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """feed, file_name, shared (list of old, new, share, form): of each column gone and each new one in a file, what share of
+    the distinct values of the one that has fewer is in the other, and how far their values' forms agree (both 0..1).
+
+    sides: _open_sides(); forms: see profiles(); values: headers -> parsed lines of these files. Counted, not estimated: from sketches of a fixed size nothing can be
+    said of a small column in a large one. Only columns that come or go are read; numbers are compared by value (2011.0 as
+    2011).
+    """
     files = join_null_safe(heads, sides.select("feed", "file_name").distinct(), ["feed", "file_name"])
     small = broadcast_checked(sides, HEADER_ROWS)
     v = join_null_safe(_exploded(values(files)).filter("v IS NOT NULL"), small if small is not None else sides, ["feed", "file_name", "name"])
@@ -154,7 +154,14 @@ def shares(heads: DataFrame, values: Callable[[DataFrame], DataFrame]) -> DataFr
     both = join_null_safe(side(v, True, "old"), side(v, False, "new"), ["feed", "to_file", "hash"]).groupBy("feed", "to_file", "old_name", "new_name").agg(F.count(F.lit(1)).alias("k"))
     both = join_null_safe(both, side(n, True, "old").withColumnRenamed("n", "n0"), ["feed", "to_file", "old_name"])
     both = join_null_safe(both, side(n, False, "new").withColumnRenamed("n", "n1"), ["feed", "to_file", "new_name"])
-    pair = F.struct(F.col("old_name").alias("old"), F.col("new_name").alias("new"), (F.col("k") / F.least("n0", "n1")).alias("share"))
+    both = both.select("feed", "to_file", "old_name", "new_name", (F.col("k") / F.least("n0", "n1")).alias("share"), F.lit(0.0).alias("form"))
+    all_ = forms.groupBy("feed", "file_name", "name").agg(F.sum("k").alias("all"))
+    parts = join_null_safe(join_null_safe(forms, all_, ["feed", "file_name", "name"]), small if small is not None else sides, ["feed", "file_name", "name"])
+    parts = cut(parts.select("feed", "to_file", "old", "name", "shape", (F.col("k") / F.col("all")).alias("part")))
+    alike = join_null_safe(side(parts, True, "old").withColumnRenamed("part", "p0"), side(parts, False, "new").withColumnRenamed("part", "p1"), ["feed", "to_file", "shape"])
+    alike = alike.groupBy("feed", "to_file", "old_name", "new_name").agg(F.lit(0.0).alias("share"), F.sum(F.least("p0", "p1")).alias("form"))
+    both = both.unionByName(alike).groupBy("feed", "to_file", "old_name", "new_name").agg(F.max("share").alias("share"), F.max("form").alias("form"))
+    pair = F.struct(F.col("old_name").alias("old"), F.col("new_name").alias("new"), "share", "form")
     return both.groupBy("feed", F.col("to_file").alias("file_name")).agg(F.collect_list(pair).alias("shared"))
 
 
@@ -180,13 +187,9 @@ def name_similarity(a: str, b: str) -> float:
     return max(parts, both)
 
 
-def _entries(x: object) -> dict:
-    """A map as it arrives here: entries of key and value, or nothing."""
-    return {} if x is None else {e["key"]: e["value"] for e in x}
-
-
-def content_score(a: dict, b: dict, value: float, together: frozenset = frozenset()) -> float:
-    """0..1: how likely column b of a file is column a of the file before. value: their share, see shares().
+def content_score(a: dict, b: dict, value: float, form: float, together: frozenset = frozenset()) -> float:
+    """0..1: how likely column b of a file is column a of the file before. value, form: their share
+    and the agreement of their forms, see shares().
 
     Numbers and text must share values: 0.1 of the smaller set is no chance between columns drawn from different sets. Where values of any column look alike (times, dates, flags) form and name decide; then two names
     that stand together in a file of the feed are two fields.
@@ -198,9 +201,6 @@ def content_score(a: dict, b: dict, value: float, together: frozenset = frozense
     numeric = {"integer", "decimal"}
     if a["type"] != b["type"] and not {a["type"], b["type"]} <= numeric:
         return 0.0
-    p, q = _entries(a["shapes"]), _entries(b["shapes"])
-    np_, nq = sum(p.values()) or 1, sum(q.values()) or 1
-    form = sum(min(p[k] / np_, q[k] / nq) for k in p.keys() & q.keys())
     name = name_similarity(a["name"], b["name"])
     if a["type"] in VAGUE:
         return 0.65 * name + 0.2 * form + 0.15 * min(1.0, a["n"] / max(1, b["n"]), b["n"] / max(1, a["n"]))
@@ -253,8 +253,8 @@ def _renames(together: dict) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
             for feed, file, gone, new, shared in zip(g["feed"], g["file_name"], g["gone"], g["new"], g["shared"]):
                 gone, new = (sorted(x, key=lambda c: c["name"]) for x in (gone, new))
                 apart = together.get(feed, frozenset())
-                value = {(x["old"], x["new"]): x["share"] for x in (() if shared is None else shared)}
-                pairs = best_matching([[content_score(a, b, value.get((a["name"], b["name"]), 0.0), apart) for b in new] for a in gone], LEAST_SCORE)
+                known = {(x["old"], x["new"]): (x["share"], x["form"]) for x in (() if shared is None else shared)}
+                pairs = best_matching([[content_score(a, b, *known.get((a["name"], b["name"]), (0.0, 0.0)), apart) for b in new] for a in gone], LEAST_SCORE)
                 old, to = {gone[i]["name"] for i, _ in pairs}, {new[j]["name"] for _, j in pairs}
                 rows = [("renamed", gone[i]["name"], new[j]["name"]) for i, j in pairs]
                 rows += [("removed", c["name"], "") for c in gone if c["name"] not in old] + [("added", c["name"], "") for c in new if c["name"] not in to]
@@ -274,7 +274,7 @@ def _together(heads: DataFrame) -> dict:
     return {f: frozenset(v) for f, v in out.items()}
 
 
-def changes(heads: DataFrame, columns: DataFrame, values: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def changes(heads: DataFrame, columns: DataFrame, forms: DataFrame, values: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """feed, file_name, change_kind, field_name, new_name of each file against the one of its feed published just before.
 
     Files of one instant follow by name. The order of fields and the notation of a type are no change. A column without
@@ -284,7 +284,7 @@ def changes(heads: DataFrame, columns: DataFrame, values: Callable[[DataFrame],
     seq = heads.select("feed", "file_name", F.row_number().over(w).alias("seq"), F.col("names"))
     named = seq.select("feed", "file_name", "seq", F.explode("names").alias("name"))
     c = cut(join_null_safe(named, columns, ["feed", "file_name", "name"], "left"))
-    col = F.struct("name", "type", F.coalesce("n", F.lit(0)).alias("n"), F.map_entries("shapes").alias("shapes"))
+    col = F.struct("name", "type", F.coalesce("n", F.lit(0)).alias("n"))
     last = seq.groupBy("feed").agg(F.max("seq").alias("last"))
     files = seq.select("feed", F.col("file_name").alias("to_file"), F.col("seq").alias("to_seq"))
     as_old = join_null_safe(c, last, ["feed"]).filter("seq < last").select("feed", "name", (F.col("seq") + 1).alias("to_seq"), F.col("type").alias("t0"), col.alias("old"))
@@ -297,7 +297,7 @@ def changes(heads: DataFrame, columns: DataFrame, values: Callable[[DataFrame],
     both = both.join(f2, F.col("feed").eqNullSafe(F.col("f_feed")) & (F.col("to_seq") == F.col("f_seq"))).drop("f_feed", "f_seq")
     retyped = both.filter("NOT is_new AND NOT is_gone AND t0 <> t1").select("feed", "file_name", F.lit("retyped").alias("change_kind"), F.col("name").alias("field_name"), F.lit("").alias("new_name"))
     open_ = both.filter("is_new OR is_gone").groupBy("feed", "file_name").agg(F.collect_list(F.when(F.col("is_gone"), F.col("old"))).alias("gone"), F.collect_list(F.when(F.col("is_new"), F.col("new"))).alias("new"))
-    open_ = join_null_safe(open_, shares(heads, values), ["feed", "file_name"], "left")
+    open_ = join_null_safe(open_, shares(heads, cut(_open_sides(heads)), forms, values), ["feed", "file_name"], "left")
     moved = open_.mapInPandas(_renames(_together(heads)), "feed string, file_name string, change_kind string, field_name string, new_name string")
     return retyped.unionByName(moved)
 
@@ -305,7 +305,7 @@ def changes(heads: DataFrame, columns: DataFrame, values: Callable[[DataFrame],
 def schema_changes(lines: DataFrame) -> DataFrame:
     """Changes between consecutive files of each feed, of raw lines (feed, file_name, published_at, line_no, line)."""
     heads = cut(headers(lines))
-    return changes(heads, profiles(parsed(lines, heads)), lambda h: parsed(lines, h))
+    return changes(heads, *profiles(parsed(lines, heads)), lambda h: parsed(lines, h))
 
 
 # Spark patterns of the date notations above.
@@ -341,8 +341,8 @@ def unified(lines: DataFrame, feed: str, exact_types: bool = True) -> tuple[Data
     lines = lines.filter(F.col("feed") == feed)
     heads = cut(headers(lines))
     rows = cut(parsed(lines, heads))
-    columns = profiles(rows)
-    found = cut(changes(heads, columns, lambda h: join_null_safe(rows, h.select("feed", "file_name"), ["feed", "file_name"])))
+    columns, forms = profiles(rows)
+    found = cut(changes(heads, columns, forms, lambda h: join_null_safe(rows, h.select("feed", "file_name"), ["feed", "file_name"])))
     links = found.filter("change_kind = 'renamed'").select("field_name", "new_name").distinct().collect()
     first = heads.select(F.explode("names").alias("name"), "published_at", "file_name").groupBy("name").agg(F.min(F.struct("published_at", "file_name")).alias("at"))
     order = [r.name for r in first.orderBy("at", "name").select("name").collect()]
