@@ -3,7 +3,7 @@
 Every candidate pair has a truth value in [0, 1]. Weighted rules pull at it: a similar name nearby means the same; nothing is
 the same without evidence; a record has at most one partner in each other table; a partner's partner is a partner. Each
 rule is a hinge, their weighted sum is convex, and its minimum is found by consensus ADMM over DataFrames: a shuffle by rule
-and one by pair a round. The values are the confidences.
+and one by pair a round, until the values settle. The values are the confidences.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ class Rules:
     """Parameters of the model; distances in metres.
 
     reach: a pair further apart is no candidate. floor: least similarity of a candidate. prior: cost of claiming a match
-    without evidence. exclusive, transitive: weights of these rules. accept: least truth value of a match.
+    without evidence. exclusive, transitive: weights of these rules. tolerance: how
+    far truth values may still move, and their copies differ, at the end; not to get there in most_rounds is an error. accept: least truth value of a match.
     """
 
     reach: float = 1600.0
@@ -40,7 +41,8 @@ class Rules:
     exclusive: float = 4.0
     transitive: float = 0.5
     rho: float = 1.0
-    rounds: int = 30
+    tolerance: float = 0.01
+    most_rounds: int = 500
     accept: float = 0.5
 
 
@@ -162,11 +164,18 @@ def _named(records: DataFrame) -> DataFrame:
     return records.mapInPandas(run, f"src string, key {kinds['key']}, name string, lon double, lat double, words array<string>, squashed string")
 
 
+LONG = 64  # letters from which a name is blocked by its ends
+
+
 def _one_edit(word: Column) -> Column:
-    """A word and all words with one letter less: two words an edit apart share one of them."""
-    w = F.substring(word, 1, 64)
-    shorter = F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(w.substr(F.lit(1), i - 1), w.substr(i + 1, F.lit(64))))
-    return F.array_distinct(F.concat(F.array(w), shorter))
+    """Keys two words an edit apart share: a word and all words with one letter less; of a long word its beginning and end,
+    one of which an edit leaves as it is. Words about the limit have both kinds, so they meet those on either side of it."""
+    n = F.length(word)
+    shorter = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(word.substr(F.lit(1), i - 1), word.substr(i + 1, n)))
+    none = F.array().cast("array<string>")
+    half = LONG // 2 - 1
+    ends = F.array(F.concat(F.lit("<"), word.substr(1, half)), F.concat(F.lit(">"), F.substring(word, -half, half)))
+    return F.array_distinct(F.concat(F.when(n <= LONG + 2, F.concat(F.array(word), shorter)).otherwise(none), F.when(n >= LONG, ends).otherwise(none)))
 
 
 def candidates(records: DataFrame, rules: Rules) -> DataFrame:
@@ -258,16 +267,24 @@ def _solved(pairs: DataFrame, rules: Rules) -> DataFrame:
         z = F.when(up < F.col("s"), up).when(down > F.col("s"), down).otherwise(F.col("s"))
         return F.least(F.lit(1.0), F.greatest(F.lit(0.0), z))
 
-    for k in range(rules.rounds):
+    # until no truth value moves by more than `tolerance` in a round, and copies agree with it that far
+    k, moved = 0, None
+    while moved is None or moved > rules.tolerance:
+        if k >= rules.most_rounds:
+            raise ArithmeticError(f"truth values still move by {moved} after {k} rounds: choose a larger rho")
+        k += 1
         dot = F.sum(F.col("c") * (F.col("z") - F.col("u"))).over(by_rule)
         state = state.withColumn("_dot", dot)
         step = F.when(F.col("_dot") <= 1, F.lit(0.0)).when(F.col("_dot") - F.col("w") / rho * F.col("norm") >= 1, F.col("w") / rho).otherwise((F.col("_dot") - 1) / F.col("norm"))
         state = state.withColumn("_x", F.col("z") - F.col("u") - step * F.col("c"))
         state = state.withColumn("_m", F.avg(F.col("_x") + F.col("u")).over(by_pair)).withColumn("_n", F.count(F.lit(1)).over(by_pair))
-        state = state.withColumn("z", truth(F.col("_m"), F.col("_n")))
-        state = state.withColumn("u", F.col("u") + F.col("_x") - F.col("z")).select("f", "v", "c", "w", "norm", "s", "z", "u")
-        if k % 5 == 4:
+        state = state.withColumn("_z", F.col("z")).withColumn("z", truth(F.col("_m"), F.col("_n")))
+        off = F.greatest(F.abs(F.col("z") - F.col("_z")), F.abs(F.col("_x") - F.col("z"))).alias("off")
+        state = state.withColumn("u", F.col("u") + F.col("_x") - F.col("z")).select("f", "v", "c", "w", "norm", "s", "z", "u", off)
+        if k % 5 == 0:
             state = cut(state)
+            moved = state.agg(F.max("off")).first()[0] or 0.0
+        state = state.drop("off")
     bound = state.groupBy("v").agg(F.max("z").alias("z"))
     alone = F.when(F.col("s") > prior * (1 - F.col("s")), F.col("s")).otherwise(0.0)  # a pair no rule joins to another
     return pairs.join(bound, "v", "left").withColumn("truth", F.coalesce("z", alone)).drop("z")
@@ -292,8 +309,15 @@ def link(tables: list[tuple[str, DataFrame]], rules: Rules = Rules()) -> DataFra
     extra = x.select("a", "b").distinct().join(pairs.select(F.col("a").alias("_a"), F.col("b").alias("_b")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
     extra = extra.select("a", "b", F.lit(0.2).alias("s"), F.lit(None).cast("double").alias("d"), F.xxhash64("a.src", "a.key", "b.src", "b.key").alias("v"))
     solved = cut(_solved(cut(pairs.unionByName(extra)), rules))
-    best = [F.desc("truth"), F.desc("s"), F.asc_nulls_last("d"), "a", "b"]
-    one = solved.filter(F.col("truth") >= rules.accept)
-    for i, other in (("a", "b.src"), ("b", "a.src")):
-        one = one.withColumn("_n", F.row_number().over(Window.partitionBy(i, other).orderBy(*best))).filter("_n = 1")
+    left = cut(solved.filter(F.col("truth") >= rules.accept).withColumn("_o", F.struct((-F.col("truth")).alias("t"), (-F.col("s")).alias("s"), F.coalesce("d", F.lit(float("inf"))).alias("d"), "a", "b")))
+    one = None
+    while not left.isEmpty():
+        # a pair that comes first at both its ends is taken and its rivals go; whoever loses a partner so tries the next
+        x = left.withColumn("_w", (F.col("_o") == F.min("_o").over(Window.partitionBy("a", "b.src"))) & (F.col("_o") == F.min("_o").over(Window.partitionBy("b", "a.src"))))
+        won = cut(x.filter("_w").drop("_w"))
+        one = won if one is None else one.unionByName(won)
+        for i, other in (("a", "b"), ("b", "a")):
+            left = left.join(won.select(F.col(i).alias("_i"), F.col(f"{other}.src").alias("_t")).distinct(), (F.col(i) == F.col("_i")) & (F.col(f"{other}.src") == F.col("_t")), "left_anti")
+        left = cut(left)
+    one = left if one is None else one
     return one.select(F.col("a.src").alias("src_a"), F.col("a.key").alias("key_a"), F.col("b.src").alias("src_b"), F.col("b.key").alias("key_b"), F.col("truth").alias("confidence"))

@@ -1,6 +1,6 @@
 import random
 
-from legflow.llm.linkage import Rules, link, name_similarity, name_words
+from legflow.llm.linkage import link, name_similarity, name_words
 
 S = "key long, name string, lon double, lat double, src string, s double"
 TOWNS = ["Bergenhofen", "Alt Walkufels", "Grossmünd", "Ñorbelach", "Bad Illzöburg", "Chavidorf", "Éczölach", "Semtifurt am Körfen"]
@@ -52,7 +52,7 @@ def test_found_pairs_are_right(spark):
     out["b"].append((9002, "Marolensee Corbebabamoos", 9.0, 46.0, "z", 0.0))
     out["c"] += [(9003, None, 7.0, 47.0, "z", 0.0), (9004, "", None, None, "z", 0.0), (None, "x", 1.0, 1.0, "z", 0.0), out["c"][0]]
     truth.add((9001, 9002))
-    got = link([(n, spark.createDataFrame(v, S)) for n, v in out.items()], Rules(rounds=20)).collect()
+    got = link([(n, spark.createDataFrame(v, S)) for n, v in out.items()]).collect()
     pairs = {(min(x.key_a, x.key_b), max(x.key_a, x.key_b)) for x in got}
     assert len(pairs & truth) >= 0.97 * len(truth) and len(pairs - truth) <= 0.03 * len(pairs)
     assert all(0.5 <= x.confidence <= 1 for x in got)
@@ -77,3 +77,27 @@ def test_the_coordinate_left_singles_out_one_of_many_of_a_name(spark):
     b += [(10, "Neustadt", 7.0 + i * 1e-5, 46.0, "", 0.0) for i in range(1, 6)]
     d = lambda rows: spark.createDataFrame(rows, S)
     assert {(x.key_a, x.key_b) for x in link([("a", d(a)), ("b", d(b))]).collect()} == {(1, 14), (2, 20)}
+
+
+def test_names_of_any_length_block_whole(spark):
+    from legflow.llm.linkage import _one_edit
+    from pyspark.sql import functions as F
+
+    w = "".join(chr(97 + i * 7 % 26) for i in range(200))
+    for n in (3, 62, 63, 64, 65, 66, 67, 68, 120, 200):
+        base = w[:n]
+        near = [base[:k] + "#" + base[k + 1 :] for k in (0, n // 2, n - 1)] + [base[:k] + base[k + 1 :] for k in (0, n // 2, n - 1)] + [base[:k] + "#" + base[k:] for k in (0, n // 2, n)]
+        rows = spark.createDataFrame([(x,) for x in [base, *near]], "w string").select("w", _one_edit(F.col("w")).alias("k")).collect()
+        keys = {r.w: set(r.k) for r in rows}
+        assert all(keys[base] & keys[x] for x in near)
+
+
+def test_who_loses_a_partner_takes_the_next(spark):
+    """Two of a name at one place want the same partner, which takes the better; the other gets the one that is left."""
+    from legflow.llm.linkage import link
+
+    t = lambda rows: spark.createDataFrame(rows, "key long, name string, lon double, lat double")
+    a = t([(1, "Altenau", 8.0, 47.0), (2, "Altenau", 8.0006, 47.0)])
+    b = t([(11, "Altenau", 8.0001, 47.0), (12, "Altenau", 8.003, 47.0)])
+    got = {(r.key_a, r.key_b) for r in link([("x", a), ("y", b)]).collect()}
+    assert (1, 11) in got and len({k for k, _ in got}) == len(got) == len({k for _, k in got})
