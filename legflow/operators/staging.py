@@ -79,18 +79,19 @@ def interpolated_delay(s: Column, t_a: Column, d_a: Column, t_b: Column, d_b: Co
     return F.when((s <= t_a) | (t_a == t_b), a).when(s >= t_b, b).otherwise(F.round(a + (b - a) * (s - t_a) / (t_b - t_a))).cast("bigint")
 
 
-def paired_by_overlap(left: DataFrame, right: DataFrame, least: int = -900) -> DataFrame:
+def paired_by_overlap(left: DataFrame, right: DataFrame, least: int = -900, width: int = 7200) -> DataFrame:
     """left_id, right_id, overlap of mutual first choices: same key, greatest overlap of [start, end].
 
     left, right: key, id, start, end (not null). overlap = least end - greatest start. A record whose best partner prefers
-    another stays alone. To keep hot keys from all-pairs joins both sides are cut into ranges of time as long as the longest
-    interval and the tolerance; pairs meet in the range of either start.
+    another stays alone. To keep hot keys from all-pairs joins both sides are laid over ranges of `width` seconds, each over
+    all it covers with the tolerance; a pair counts in the first range it shares. A long interval costs its own ranges only.
     """
-    span = max(1, left.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 0, right.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 0) + max(0, -least)
-    bucket = lambda c: F.floor(F.col(c) / span)
-    l = left.select("key", F.col("id").alias("left_id"), F.col("start").alias("ls"), F.col("end").alias("le"), F.explode(F.array(bucket("start") - 1, bucket("start"), bucket("start") + 1)).alias("b"))
-    r = right.select("key", F.col("id").alias("right_id"), F.col("start").alias("rs"), F.col("end").alias("re"), bucket("start").alias("b"))
-    x = l.join(r, ["key", "b"]).withColumn("overlap", F.least("le", "re") - F.greatest("ls", "rs")).filter(F.col("overlap") >= least)
+    slack = max(0, -least)
+    cover = lambda lo, hi: F.sequence(F.floor(lo / width), F.floor(F.greatest(lo, hi) / width))
+    l = left.select("key", F.col("id").alias("left_id"), F.col("start").alias("ls"), F.col("end").alias("le"), F.explode(cover(F.col("start") - slack, F.greatest("start", "end") + slack)).alias("b"))
+    r = right.select("key", F.col("id").alias("right_id"), F.col("start").alias("rs"), F.col("end").alias("re"), F.explode(cover(F.col("start"), F.col("end"))).alias("b"))
+    x = l.join(r, ["key", "b"]).filter(F.col("b") == F.greatest(F.floor((F.col("ls") - slack) / width), F.floor(F.col("rs") / width)))
+    x = x.withColumn("overlap", F.least("le", "re") - F.greatest("ls", "rs")).filter(F.col("overlap") >= least)
     first = lambda of, other: F.row_number().over(Window.partitionBy(of).orderBy(F.desc("overlap"), other))
     x = x.withColumn("_l", first("left_id", "right_id")).withColumn("_r", first("right_id", "left_id"))
     return x.filter("_l = 1 AND _r = 1").select("left_id", "right_id", F.col("overlap").cast("bigint").alias("overlap"))
@@ -110,9 +111,9 @@ def slots(rows: DataFrame, run: str, pos: str, kind: str, station: str, first: s
     return good.groupBy(run, "slot").agg(F.min(station).alias("station"), at(then).alias("arr_pos"), at(first).alias("dep_pos"))
 
 
-def malformed(rows: DataFrame, run: list[str], pos: str, time: str, station: str) -> DataFrame:
-    """Runs whose time goes back or that call at a station twice."""
-    back = F.col(time) < F.lag(time).over(Window.partitionBy(*run).orderBy(pos))
+def malformed(rows: DataFrame, run: list[str], pos: str, time: str, station: str, left: str | None = None) -> DataFrame:
+    """Runs whose time goes back or that call at a station twice; left: the time to compare with, of the stop before."""
+    back = F.col(time) < F.lag(left or time).over(Window.partitionBy(*run).orderBy(pos))
     x = rows.withColumn("_b", back)
     return x.groupBy(*run).agg(F.max(F.coalesce(F.col("_b"), F.lit(False))).alias("_b"), F.count(F.lit(1)).alias("_n"), F.countDistinct(station).alias("_d")).filter(F.col("_b") | (F.col("_n") > F.col("_d"))).select(*run)
 
