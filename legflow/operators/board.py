@@ -37,22 +37,68 @@ def delay_step(delay: Column) -> Column:
     return F.when(delay.isNotNull(), out)
 
 
-def search(legs: DataFrame, text: str, at: int, most: int = LISTED) -> DataFrame:
+def search(legs: DataFrame, text: str, at: int, most: int = LISTED, by: tuple[str, ...] = ()) -> DataFrame:
     """Journeys of the UTC day of `at` whose line or trip holds the text (blanks and case aside); wildcards act as such.
 
-    rank 0: the line itself, 1: the trip itself, 2: either holds it. Sorted by rank, start, journey; at most `most`.
+    rank 0: the line itself, 1: the trip itself, 2: either holds it. Sorted by rank, start, journey; at most `most` of each
+    dataset (the columns `by`, if legs of several come together), then of all. An empty text finds nothing.
     """
     needle = text.strip().lower().replace(" ", "")
     day = at // DAY * DAY
-    x = legs.filter(F.col("t_dep").between(day, day + DAY - 1))
+    x = legs.filter(F.col("t_dep").between(day, day + DAY - 1) & F.lit(needle != ""))
     bare = lambda c: F.replace(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(" "), F.lit(""))
-    x = x.filter(bare("line").like(f"%{needle}%") | F.lower("trip_id").like(f"%{needle}%"))
-    rank = F.when(bare("line") == needle, 0).when(F.lower("trip_id") == needle, 1).otherwise(2)
+    x = x.filter(bare("line").like(f"%{needle}%") | bare("trip_id").like(f"%{needle}%"))
+    rank = F.when(bare("line") == needle, 0).when(bare("trip_id") == needle, 1).otherwise(2)
     first = F.struct("t_dep", "leg_id")
-    g = x.groupBy("service_day", "trip_id").agg(
+    g = x.groupBy(*by, "service_day", "trip_id").agg(
         F.min(rank).cast("bigint").alias("rank"), F.min("t_dep").alias("start"), F.max(F.col("t_dep") + F.col("dur")).alias("end"), F.min_by("route_id", first).cast("bigint").alias("route_id"), F.min_by("line", first).alias("line")
     )
-    return g.orderBy("rank", "start", "service_day", "trip_id").limit(most)
+    order = ["rank", "start", *by, "service_day", "trip_id"]
+    if by:
+        g = g.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_n") <= most).drop("_n")
+    return g.orderBy(*order).limit(most)
+
+
+def initial_day(days: DataFrame, main: str, default: str, floor: int = 10_000) -> DataFrame:
+    """day to begin with: the first that every dataset has; else `default` if the main dataset has it; else its last day with
+    `floor` legs or more; else its last. days: dataset, day, legs."""
+    n = days.agg(F.countDistinct("dataset").alias("n"))
+    shared = days.groupBy("day").agg(F.countDistinct("dataset").alias("k")).join(F.broadcast(n), F.col("k") == F.col("n")).filter("n > 1").agg(F.min("day").alias("shared"))
+    d = F.lit(default).cast("date")
+    own = days.filter(F.col("dataset") == main).agg(F.max(F.when(F.col("day") == d, d)).alias("d"), F.max(F.when(F.col("legs") >= floor, F.col("day"))).alias("full"), F.max("day").alias("last"))
+    return shared.join(own).select(F.coalesce("shared", "d", "full", "last").alias("day"))  # one row each
+
+
+def coverage_notices(instants: DataFrame, datasets: DataFrame, days: DataFrame, cancelled: DataFrame, gaps: DataFrame) -> DataFrame:
+    """at, dataset, notice of instants (at: epoch seconds) that a dataset does not cover: the first dataset in order that says
+    so, by cancelled day, gap hour, source gap (a missing day within its coverage) or outside.
+
+    datasets: dataset, pos, start, end; days, cancelled: dataset, day; gaps: dataset, hour (epoch hours). Catalog tables,
+    few rows each; instants are as many as asked for.
+    """
+    x = instants.select("at", F.date_from_unix_date(F.floor(F.col("at") / DAY).cast("int")).alias("day"), F.floor(F.col("at") / 3600).alias("hour")).distinct()
+    x = x.select("*", F.explode(F.lit([r.dataset for r in datasets.select("dataset").distinct().collect()])).alias("dataset")).join(datasets, "dataset")
+    mark = lambda d, n: d.distinct().withColumn(n, F.lit(True))
+    x = x.join(mark(cancelled, "_c"), ["dataset", "day"], "left").join(mark(gaps, "_g"), ["dataset", "hour"], "left").join(mark(days, "_d"), ["dataset", "day"], "left")
+    notice = F.when(F.col("_c"), "cancelled").when(F.col("_g"), "gap_hour").when(F.col("_d"), None).when(F.col("day").between(F.col("start"), F.col("end")), "source_gap").otherwise("outside")
+    x = x.withColumn("notice", notice).filter("notice IS NOT NULL")
+    return x.groupBy("at").agg(F.min(F.struct("pos", "dataset", "notice")).alias("m")).select("at", "m.dataset", "m.notice")
+
+
+def linked(journeys: DataFrame, links: DataFrame, side: str) -> DataFrame:
+    """dataset, journey, start, other_dataset, other_journey, kind: where a journey goes on (side 'from') or came from ('to').
+
+    links: day, kind, from_dataset, from_journey, to_dataset, to_journey; the day is that of the journey's departure.
+    """
+    other = "to" if side == "from" else "from"
+    l = links.select(F.col("day").alias("_day"), F.col(f"{side}_dataset").alias("dataset"), F.col(f"{side}_journey").alias("journey"), F.col(f"{other}_dataset").alias("other_dataset"), F.col(f"{other}_journey").alias("other_journey"), "kind")
+    return journeys.withColumn("_day", departure_day("start")).join(l, ["dataset", "journey", "_day"]).select("dataset", "journey", "start", "other_dataset", "other_journey", "kind")
+
+
+def of_groups(legs: DataFrame, groups: DataFrame, shown: list[str]) -> DataFrame:
+    """Legs whose (dataset, type) belongs to a shown group; groups: dataset, type_id, group. Without an entry: 'other'."""
+    g = groups.select("dataset", "type_id", F.col("group").alias("_g"))
+    return legs.join(F.broadcast(g), ["dataset", "type_id"], "left").filter(F.coalesce("_g", F.lit("other")).isin(*shown)).drop("_g")
 
 
 def journey_spans(legs: DataFrame) -> DataFrame:

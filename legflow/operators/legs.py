@@ -12,6 +12,7 @@ DAY = 86_400
 SCHEDULED, SYNTHETIC, FRACTION = 1, 2, 4
 UNKNOWN_TYPE = 255
 MAX_LEG = 3600
+WIRE_ID = 65_535
 NOT_QUARANTINED = ("ok", "outside_bbox", "outside_country", "not_run")
 
 
@@ -102,6 +103,27 @@ def registry(known: DataFrame, keys: DataFrame, key: list[str], id_: str, most:
     return known.select(*key, id_).unionByName(new.select(*key, (n + start).cast("bigint").alias(id_)))
 
 
+def seeded(known: DataFrame, published: DataFrame, key: list[str], id_: str) -> DataFrame:
+    """Known ids with the published ones among them; raises where a key has another id or an id another key."""
+    k = known.select(F.struct(*key).alias("k"), F.col(id_).alias("a"))
+    p = published.select(F.struct(*key).alias("p"), F.col(id_).alias("b")).distinct()
+    wrong = seed_conflicts(known, published, key, id_).first()
+    if wrong is not None:
+        raise ValueError(f"published {wrong.key} has id {wrong.id}, known is {wrong.known}")
+    fresh = p.join(k, F.col("p") == F.col("k"), "left_anti").select("p.*", F.col("b").alias(id_))
+    return known.select(*key, id_).unionByName(fresh)
+
+
+def seed_conflicts(known: DataFrame, published: DataFrame, key: list[str], id_: str) -> DataFrame:
+    """key, id, known (as text) of published ids that contradict the known ones, in either direction."""
+    text = lambda c: F.concat_ws(",", *[F.col(x).cast("string") for x in c])
+    k = known.select(text(key).alias("kk"), F.col(id_).cast("bigint").alias("ki"))
+    p = published.select(text(key).alias("key"), F.col(id_).cast("bigint").alias("id")).distinct()
+    other_id = p.join(k, (F.col("key") == F.col("kk")) & (F.col("id") != F.col("ki"))).select("key", "id", F.concat(F.lit("id "), F.col("ki").cast("string")).alias("known"))
+    other_key = p.join(k, (F.col("id") == F.col("ki")) & (F.col("key") != F.col("kk"))).select("key", "id", F.concat(F.lit("key "), "kk").alias("known"))
+    return other_id.unionByName(other_key).distinct()
+
+
 def split(ok: DataFrame) -> DataFrame:
     """Legs of at most MAX_LEG seconds: longer ones in n pieces with their share of the route in 255ths."""
     dur, n = F.col("dur"), F.ceil(F.col("dur") / MAX_LEG).cast("bigint")
@@ -141,12 +163,16 @@ def journeys(legs: DataFrame) -> DataFrame:
 
 
 def wire(legs: DataFrame) -> DataFrame:
-    """Legs as they are stored: journey_id for its key, route id and share of it packed into one number."""
+    """Legs as they are stored: journey_id for its key, route id and share of it packed into one number. Raises where an id
+    does not fit: a packed route or a journey over WIRE_ID."""
     whole = (F.col("route_start") == 0) & (F.col("route_end") == 255)
     r = F.col("route_id").cast("bigint")
     packed = F.when(whole, r).otherwise(r.bitwiseOR(F.shiftleft(F.col("route_start").cast("bigint"), 16)).bitwiseOR(F.shiftleft(F.col("route_end").cast("bigint"), 24)))
     flags = F.col("flags").cast("int").bitwiseOR(F.when(whole, 0).otherwise(FRACTION))
-    j = journeys(legs).select("dep_day", "service_day", "trip_id", "journey_id")
+    # a number that does not fit would read back as another route or journey
+    fits = lambda n, ok, what: F.when(ok, n).otherwise(F.raise_error(F.concat(F.lit(f"{what} passes {WIRE_ID}: "), n.cast("string"))))
+    packed = fits(packed, whole | (r <= WIRE_ID), "route_id of a part")
+    j = journeys(legs).select("dep_day", "service_day", "trip_id", fits(F.col("journey_id"), F.col("journey_id") <= WIRE_ID, "journey_id").alias("journey_id"))
     x = legs.withColumn("dep_day", departure_day()).join(j, ["dep_day", "service_day", "trip_id"])
     return x.select("dep_day", packed.alias("route_id"), "journey_id", "t_dep", F.col("dur").cast("bigint").alias("dur"), F.col("type_id").cast("bigint").alias("type_id"), F.col("delay").cast("bigint").alias("delay"), flags.cast("bigint").alias("flags"))
 

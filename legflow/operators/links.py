@@ -51,11 +51,11 @@ def crosswalk_pairs(stations: DataFrame) -> DataFrame:
     return x.select("a_dataset", "a_id", "b_dataset", F.col("s.b_id").alias("b_id"), F.col("s.rank").cast("bigint").alias("rank"), F.round("s.d", 3).alias("d"))
 
 
-def components(edges: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, rounds: int = 200) -> DataFrame:
     """node, component (its least node) of undirected edges, by alternating large-star and small-star steps.
 
     Each step joins neighbours to the least of them; the number of steps is logarithmic in the longest path. Every round is
-    written down, and the loop ends when a round changes nothing.
+    written down, and the loop ends when a round changes nothing; `rounds` of them without an end are an error.
     """
     e = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct())
     nodes = edges.select(F.col(a).alias("node")).union(edges.select(F.col(b).alias("node"))).distinct()
@@ -70,6 +70,8 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
         if done.exceptAll(e).isEmpty() and e.exceptAll(done).isEmpty():
             break
         e = done
+    else:
+        raise ArithmeticError(f"components are not done after {rounds} rounds")
     roots = e.groupBy("u").agg(F.min("v").alias("component"))
     return nodes.join(roots, nodes.node == roots.u, "left").select("node", F.coalesce("component", "node").alias("component"))
 
@@ -88,17 +90,37 @@ def train_number(trip: Column) -> Column:
     return F.when(n.rlike("^[0-9]+$"), F.ltrim(n, F.lit("0")))
 
 
-def judged(first: DataFrame, second: DataFrame) -> DataFrame:
+def _bearing(a: Column, b: Column) -> Column:
+    """Degrees from north of the way from a to b (structs of lon, lat), flat at a's latitude."""
+    return F.degrees(F.atan2((b["lon"] - a["lon"]) * F.cos(F.radians(a["lat"])), b["lat"] - a["lat"]))
+
+
+def _turn(x: Column, y: Column) -> Column:
+    return F.abs(F.pmod(y - x + 540, F.lit(360.0)) - 180)
+
+
+def judged(first: DataFrame, second: DataFrame, home: tuple[str, str] | None = None, seen: DataFrame | None = None) -> DataFrame:
     """Verdict on pairs of journeys of two datasets with one number on one day: handover, overlap or bridge.
 
     first, second: day, number, journey, pos (of its calls, from 0), last (its greatest pos), side, station (a group shared
     by both datasets, or null), country, lon, lat, t. No link where the second starts before the first starts. With a
     shared station within SHARED seconds: none if the second ends no later than the first; handover where that is the
     first's last and the second's first call, else overlap. Otherwise a bridge from the first's last arrival to the second's
-    first departure, of BRIDGE seconds, up to BRIDGE_M metres and at a train's SPEED.
+    first departure, of BRIDGE seconds, up to BRIDGE_M metres and at a train's SPEED; each end in its own country (home:
+    that of first and of second; None asks no country); neither end a station the other dataset has (seen: their
+    groups); and turning by TURN degrees at most at either end, where the journeys have a call elsewhere.
     """
-    ends = lambda d: d.groupBy("day", "number", "journey").agg(*[f(F.struct("t", "side", "station", "country", "lon", "lat"), "pos").alias(n) for f, n in ((F.min_by, "start"), (F.max_by, "end"))])
-    ea, eb = (e.select("day", "number", *[F.col(c).alias(f"{c}_{x}") for c in ("journey", "start", "end")]) for e, x in ((ends(first), "a"), (ends(second), "b")))
+    spot = F.struct("t", "side", "station", "country", "lon", "lat")
+    key4 = F.concat_ws("|", "lon", "lat")
+
+    def ends(d: DataFrame) -> DataFrame:
+        e = d.groupBy("day", "number", "journey").agg(F.min_by(spot, "pos").alias("start"), F.max_by(spot, "pos").alias("end"), F.min_by(key4, "pos").alias("_a"), F.max_by(key4, "pos").alias("_b"))
+        x = d.join(e.select("day", "number", "journey", "_a", "_b"), ["day", "number", "journey"])
+        # the nearest call to either end that is elsewhere
+        n = x.groupBy("day", "number", "journey").agg(F.min_by(spot, F.when(key4 != F.col("_a"), F.col("pos"))).alias("after"), F.max_by(spot, F.when(key4 != F.col("_b"), F.col("pos"))).alias("before"))
+        return e.drop("_a", "_b").join(n, ["day", "number", "journey"])
+
+    ea, eb = (e.select("day", "number", *[F.col(c).alias(f"{c}_{x}") for c in ("journey", "start", "end", "after", "before")]) for e, x in ((ends(first), "a"), (ends(second), "b")))
     pairs = ea.join(eb, ["day", "number"]).filter("start_b.t >= start_a.t")
     call = lambda d, x: d.filter("station IS NOT NULL").select("day", "number", F.col("journey").alias(f"journey_{x}"), "station", F.col("pos").alias(f"pos_{x}"), F.col("last").alias(f"last_{x}"), F.col("t").alias(f"t_{x}"))
     meet = call(first, "a").join(call(second, "b"), ["day", "number", "station"]).filter(F.abs(F.col("t_a") - F.col("t_b")) <= SHARED)
@@ -108,9 +130,99 @@ def judged(first: DataFrame, second: DataFrame) -> DataFrame:
     m, a, b = F.col("m"), F.col("end_a"), F.col("start_b")
     gap = b["t"] - a["t"]
     dist = great_circle_m(a["lon"], a["lat"], b["lon"], b["lat"])
-    bridge = (a["side"] == "arr") & (b["side"] == "dep") & gap.between(*BRIDGE) & (dist <= BRIDGE_M) & (dist / gap).between(*SPEED)
+    bridge = (a["side"] == "arr") & (b["side"] == "dep") & gap.between(*BRIDGE) & (dist <= BRIDGE_M) & (dist / F.nullif(gap, F.lit(0))).between(*SPEED)
+    if home:
+        bridge &= (a["country"] == home[0]) & (b["country"] == home[1])
+    if seen is not None:
+        for end, n in (("end_a", "_sa"), ("start_b", "_sb")):
+            x = x.withColumn("_g", F.col(f"{end}.station")).join(seen.select(F.col("station").alias("_g"), F.lit(True).alias(n)).distinct(), "_g", "left").drop("_g")
+        bridge &= ~F.coalesce("_sa", F.lit(False)) & ~F.coalesce("_sb", F.lit(False))
+    across = _bearing(a, b)
+    turns = F.greatest(_turn(_bearing(F.col("before_a"), a), across), _turn(across, _bearing(b, F.col("after_b"))))
+    bridge &= F.when(F.col("before_a").isNotNull() & F.col("after_b").isNotNull(), turns <= TURN).otherwise(True)
     kind = F.when(m.isNotNull() & (F.col("end_b.t") <= a["t"]), None).when(m.isNotNull() & (m["pos_a"] == m["last_a"]) & (m["pos_b"] == 0), "handover").when(m.isNotNull(), "overlap").when(bridge, "bridge")
-    return x.select(*key, kind.alias("kind"), F.when(kind == "bridge", gap).alias("dur")).filter("kind IS NOT NULL")
+    return x.select(*key, kind.alias("kind"), F.when(kind == "bridge", gap).alias("dur"), F.when(kind == "bridge", a["t"]).alias("t_dep")).filter("kind IS NOT NULL")
+
+
+def linked_days(a: DataFrame, b: DataFrame, home: tuple[str, str] | None = None, seen: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """from_side ('a' or 'b') and the verdicts of judged() in both directions; a bridge leaves on the UTC day it is filed under.
+
+    a, b: calls of two datasets, see judged(). Only numbers that both run on a day are read. seen: groups of stations that a
+    has, and that b has.
+    """
+    key = ["day", "number"]
+    a, b = a.join(b.select(*key).distinct(), key, "left_semi"), b.join(a.select(*key).distinct(), key, "left_semi")
+    both = None
+    for side, x, y in (("a", a, b), ("b", b, a)):
+        way = (home if side == "a" else home[::-1]) if home else None
+        # neither end may be a station the other dataset has: shared ones are those of both
+        shared = seen[0].select("station").join(seen[1].select("station"), "station", "left_semi") if seen else None
+        v = judged(x, y, way, shared).withColumn("from_side", F.lit(side))
+        both = v if both is None else both.unionByName(v)
+    day = F.date_from_unix_date(F.floor(F.col("t_dep") / 86_400).cast("int"))
+    return both.filter((F.col("kind") != "bridge") | (day == F.col("day")))
+
+
+def nearest_of(points: DataFrame, targets: DataFrame, reach_m: float = 20_000.0) -> DataFrame:
+    """id, metres of each point to the nearest target: points (id, lon, lat), targets (lon, lat).
+
+    Points and targets meet in cells `reach_m` wide; points without a target that near go on with a reach eight times as
+    wide, at last all round the earth, so nobody is compared with everybody while near targets exist.
+    """
+    t = targets.filter(has_position()).select(F.col("lon").alias("x"), F.col("lat").alias("y")).distinct()
+    left, done = cut(points.filter(has_position()).select("id", "lon", "lat").distinct()), None
+    while not left.isEmpty():
+        deg = min(360.0, reach_m / M_PER_DEG)
+        wide = lambda r: F.least(F.lit(360.0), deg / F.greatest(F.cos(F.radians(F.least(F.lit(90.0), F.greatest(F.abs(r * deg), F.abs((r + 1) * deg))))), F.lit(1e-6)))
+        row = lambda c: F.floor(F.col(c) / deg)
+        cols = lambda c: F.greatest(F.lit(1), F.floor(360.0 / wide(F.col("r")))).cast("int")
+        column = lambda c: F.floor((F.col(c) + 180) / 360 * cols(c)).cast("int")
+        a = left.withColumn("r", F.explode(F.array(row("lat") - 1, row("lat"), row("lat") + 1)))
+        a = a.withColumn("c", F.explode(F.array_distinct(F.array(*[F.pmod(column("lon") + i, cols("lon")) for i in (-1, 0, 1)]))))
+        b = t.withColumn("r", row("y")).withColumn("c", F.pmod(column("x"), cols("x")))
+        d = great_circle_m(F.col("lon"), F.col("lat"), F.col("x"), F.col("y"))
+        near = a.join(b, ["r", "c"]).groupBy("id", "lon", "lat").agg(F.min(d).alias("metres"))
+        if deg < 360:
+            near = near.filter(F.col("metres") <= reach_m)
+        near = cut(near)
+        done = near if done is None else done.unionByName(near)
+        if deg >= 360:
+            break
+        left, reach_m = cut(left.join(near.select("id", "lon", "lat"), ["id", "lon", "lat"], "left_anti")), reach_m * 8
+    return (done if done is not None else left.withColumn("metres", F.lit(None).cast("double"))).groupBy("id").agg(F.min("metres").alias("metres"))
+
+
+def edge_distances(bridges: DataFrame, stations: DataFrame) -> DataFrame:
+    """dataset, station, other, metres: from every end of a bridge to the nearest station the other side's dataset has.
+
+    bridges: from_dataset, from_station, to_dataset, to_station; stations: dataset, id, lon, lat.
+    """
+    ends = bridges.select(F.col("from_dataset").alias("dataset"), F.col("from_station").alias("station"), F.col("to_dataset").alias("other"))
+    ends = cut(ends.unionByName(bridges.select(F.col("to_dataset"), F.col("to_station"), F.col("from_dataset")).toDF("dataset", "station", "other")).distinct())
+    at = ends.join(stations.withColumnRenamed("id", "station"), ["dataset", "station"])
+    out = None
+    for r in ends.select("other").distinct().collect():  # datasets: a handful
+        near = nearest_of(at.filter(F.col("other") == r.other).select(F.struct("dataset", "station").alias("id"), "lon", "lat"), stations.filter(F.col("dataset") == r.other))
+        near = near.select("id.dataset", "id.station", F.lit(r.other).alias("other"), "metres")
+        out = near if out is None else out.unionByName(near)
+    return out if out is not None else ends.withColumn("metres", F.lit(None).cast("double"))
+
+
+BRIDGE_ROUTE, BRIDGE_FLAG = 0x10000, 128  # fixed values: where routes of bridges begin, and their flag
+
+
+def bridge_legs(bridges: DataFrame, at: int, ahead: int) -> DataFrame:
+    """Bridges (dataset, journey, route, t_dep, dur, type_id, delay) that leave within [at, ahead] as legs of their first journey."""
+    x = bridges.filter(F.col("t_dep").between(at, ahead))
+    return x.select("dataset", (F.col("route") + BRIDGE_ROUTE).alias("route_id"), F.col("journey").alias("journey_id"), F.lit(0).alias("route_start"), F.lit(1).alias("route_end"), "t_dep", "dur", "type_id", "delay", F.lit(BRIDGE_FLAG).alias("flags"))
+
+
+def linked_ends(links: DataFrame, drawn: list[str]) -> DataFrame:
+    """day, dataset, journey, side: 'end' of journeys that go on in another dataset, 'start' of those that came from one; only
+    where both datasets are drawn."""
+    x = links.filter(F.col("from_dataset").isin(*drawn) & F.col("to_dataset").isin(*drawn))
+    ends = F.array(F.struct(F.col("from_dataset").alias("dataset"), F.col("from_journey").alias("journey"), F.lit("end").alias("side")), F.struct(F.col("to_dataset").alias("dataset"), F.col("to_journey").alias("journey"), F.lit("start").alias("side")))
+    return x.select("day", F.inline(ends)).distinct()
 
 
 def one_per_end(links: DataFrame) -> DataFrame:
@@ -133,11 +245,15 @@ def one_per_end(links: DataFrame) -> DataFrame:
     return (links if taken is None else taken).select(*links.columns)
 
 
-def bridge_pairs(bridges: DataFrame) -> DataFrame:
+EDGE_M = 60_000  # furthest a bridge's end may lie from the other dataset
+
+
+def bridge_pairs(bridges: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """Which crossings to believe: from_station, to_station, days, numbers, per_day, median, consistent, both_ways, accepted.
 
     bridges: day, from_station, to_station, number, dur. Accepted: 3 days or more; both ways or 2 a day; 5 numbers (8 one
-    way); 60 % within the greater of 300 s and 30 % of the median.
+    way); 60 % within the greater of 300 s and 30 % of the median; with edges (station, metres: see edge_distances()) both
+    ends at most EDGE_M from the other dataset.
     """
     key = ["from_station", "to_station"]
     s = bridges.groupBy(*key).agg(F.countDistinct("day").alias("days"), F.countDistinct("number").alias("numbers"), F.count(F.lit(1)).alias("n"), F.percentile("dur", 0.5).alias("median"))
@@ -145,6 +261,10 @@ def bridge_pairs(bridges: DataFrame) -> DataFrame:
     back = s.select(F.col("to_station").alias("from_station"), F.col("from_station").alias("to_station"), (F.col("days") >= 3).alias("both_ways"))
     x = s.join(near, key).join(back, key, "left").withColumn("both_ways", F.coalesce("both_ways", F.lit(False))).withColumn("per_day", F.round(F.col("n") / F.col("days"), 6))
     ok = (F.col("days") >= 3) & (F.col("both_ways") | (F.col("per_day") >= 2)) & (F.col("numbers") >= F.when(F.col("both_ways"), 5).otherwise(8)) & (F.col("consistent") >= 0.6)
+    if edges is not None:
+        for k in key:
+            x = x.join(edges.select(F.col("station").alias(k), F.col("metres").alias(f"_{k}")), k, "left")
+        ok &= F.coalesce(F.greatest("_from_station", "_to_station") <= EDGE_M, F.lit(False))
     return x.select(*key, "days", "numbers", "per_day", "median", F.round("consistent", 6).alias("consistent"), "both_ways", ok.alias("accepted"))
 
 

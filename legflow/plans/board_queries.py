@@ -11,7 +11,7 @@ from legflow.operators import board as B
 from legflow.operators import geometry as G
 from legflow.operators import legs as L
 from legflow.operators import links as K
-from legflow.operators.spatial import great_circle_m
+from legflow.operators.spatial import great_circle_m, has_position
 from legflow.plans import feeds as D
 from legflow.tables import table
 
@@ -28,6 +28,86 @@ def q02_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.search(D.legs(spark, sf_dir), " S 1", AT)
 
 
+def q02_search_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three datasets by train type: the best of each, then of all."""
+    legs = D.legs(spark, sf_dir).withColumn("dataset", F.pmod("type_id", F.lit(3)).cast("bigint"))
+    return B.search(legs, "IC", AT, by=("dataset",))
+
+
+def so04_board_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 36 departures of long-distance types from anywhere in the window."""
+    x = B.window(D.legs(spark, sf_dir), AT).filter("type_id IN (0, 1, 2)")
+    return x.orderBy("t_dep", "leg_id").limit(36).select("leg_id", "t_dep")
+
+
+def so05_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two datasets' windows as one list by departure, with its places."""
+    legs = D.legs(spark, sf_dir)
+    a, b = (B.window(legs.filter(F.col("flags").bitwiseAND(1) == f), AT).select("leg_id", "t_dep", F.lit(f).cast("bigint").alias("dataset")) for f in (0, 1))
+    from pyspark.sql import Window
+
+    return a.unionByName(b).withColumn("place", F.row_number().over(Window.orderBy("t_dep", "dataset", "leg_id")).cast("bigint"))  # a window: thousands of legs
+
+
+def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days with departures of three datasets; each lacks some."""
+    d = D.legs(spark, sf_dir).select(F.pmod("type_id", F.lit(3)).alias("k"), L.departure_day().alias("day")).groupBy("k", "day").agg(F.count(F.lit(1)).alias("legs"))
+    d = d.filter(F.pmod(F.unix_date("day"), F.col("k") + 3) != 0)
+    return d.select(F.concat(F.lit("d"), F.col("k").cast("string")).alias("dataset"), "day", "legs")
+
+
+def q07_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said at every sixth hour of January and February."""
+    days = _days(spark, sf_dir)
+    ends = days.groupBy("dataset").agg(F.min("day").alias("start"), F.max("day").alias("end")).withColumn("pos", F.substring("dataset", 2, 1).cast("bigint"))
+    off = days.filter("legs % 5 = 0").select("dataset", "day")
+    gaps = days.filter("legs % 3 = 0").select("dataset", (F.unix_date("day") * 24 + 6).cast("bigint").alias("hour"))
+    at = spark.range(0, 240).select((F.lit(1_514_764_800) + F.col("id") * 21_600).alias("at"))
+    return B.coverage_notices(at, ends, days.select("dataset", "day"), off, gaps)
+
+
+def q09_initial_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.initial_day(_days(spark, sf_dir), "d0", "2018-01-15", 500)
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links from journeys of dataset a to those of b: legs that follow each other on a route within a day."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("route_id", L.departure_day()).orderBy("t_dep", "leg_id")
+    x = D.legs(spark, sf_dir).withColumn("to_journey", F.lead("leg_id").over(w)).filter("to_journey IS NOT NULL")
+    return x.select(L.departure_day().alias("day"), F.lit("a").alias("from_dataset"), F.col("leg_id").alias("from_journey"), F.lit("b").alias("to_dataset"), "to_journey", F.when(F.col("flags").bitwiseAND(1) == 1, "bridge").otherwise("handover").alias("kind"), "t_dep", "dur", "type_id", "delay")
+
+
+def q11_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = D.legs(spark, sf_dir).select(F.lit("a").alias("dataset"), F.col("leg_id").alias("journey"), F.col("t_dep").alias("start"))
+    return B.linked(j, _links(spark, sf_dir), "from")
+
+
+def lnk08_bridge_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _links(spark, sf_dir).filter("kind = 'bridge'").select(F.col("from_dataset").alias("dataset"), F.col("from_journey").alias("journey"), F.col("from_journey").alias("route"), "t_dep", "dur", "type_id", "delay")
+    return K.bridge_legs(b, AT - 86_400, AT + 86_400).select("dataset", *[F.col(c).cast("bigint").alias(c) for c in ("route_id", "journey_id", "route_start", "route_end", "t_dep", "dur", "type_id", "delay", "flags")])
+
+
+def lnk08_linked_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.linked_ends(_links(spark, sf_dir), ["a", "b"])
+
+
+def flt13_shown_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    legs = D.legs(spark, sf_dir).withColumn("dataset", F.lit("ch"))
+    g = table(spark, sf_dir, "train_types").select(F.lit("ch").alias("dataset"), "type_id", F.when(F.col("type_id") < 3, "fast").when(F.col("type_id") < 6, "local").alias("group")).filter("group IS NOT NULL")
+    return B.of_groups(legs, g, ["fast", "other"]).groupBy("type_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("type_id").cast("bigint").alias("type_id"), "n")
+
+
+def lnk06b_edge_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From every station of each dataset, as the end of a bridge, to the nearest of the next."""
+    s = _stations(spark, sf_dir).filter(has_position()).groupBy("dataset", "id").agg(F.min(F.struct("lon", "lat")).alias("p")).select("dataset", "id", "p.lon", "p.lat")
+    nxt = F.when(F.col("dataset") == "at", "ch").when(F.col("dataset") == "ch", "de").otherwise("at")
+    a = s.select(F.col("dataset").alias("from_dataset"), F.col("id").alias("from_station"), nxt.alias("to_dataset"))
+    pick = s.groupBy(F.col("dataset").alias("to_dataset")).agg(F.min("id").alias("to_station"))
+    return K.edge_distances(a.join(pick, "to_dataset"), s).select("dataset", "station", "other", F.round("metres", 2).alias("metres"))
+
+
 def q03_journey_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.journey_spans(D.legs(spark, sf_dir))
 
@@ -69,8 +149,15 @@ def lnk01_crosswalk_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.crosswalk_pairs(_stations(spark, sf_dir))
 
 
+def _crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids are unique within a dataset only: a node is both."""
+    node = lambda x: F.struct(F.col(f"{x}_dataset").alias("dataset"), F.col(f"{x}_id").alias("id")).alias(x)
+    c = K.components(K.crosswalk_pairs(_stations(spark, sf_dir)).select(node("a"), node("b")), "a", "b")
+    return c.select("node.dataset", "node.id", F.col("component.dataset").alias("root_dataset"), F.col("component.id").alias("root_id"))
+
+
 def lnk01_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.components(K.crosswalk_pairs(_stations(spark, sf_dir)), "a_id", "b_id")
+    return _crosswalk(spark, sf_dir)
 
 
 def lnk02_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,17 +202,23 @@ def _calls(spark: SparkSession, sf_dir: str, flags: int) -> DataFrame:
     from pyspark.sql import Window
 
     p = D.places(spark, sf_dir).groupBy("bpuic").agg(F.max("lon").alias("lon"), F.max("lat").alias("lat"))
-    v = K.visits(D.legs(spark, sf_dir).filter(F.col("flags").bitwiseAND(1) == flags)).withColumn("number", K.train_number(F.col("trip_id"))).filter("number IS NOT NULL")
+    # few trains of one number run twice a day here: modulo 400 they meet
+    v = K.visits(D.legs(spark, sf_dir).filter(F.col("flags").bitwiseAND(1) == flags)).withColumn("number", F.pmod(K.train_number(F.col("trip_id")).cast("bigint"), F.lit(400))).filter("number IS NOT NULL")
     key = ["service_day", "trip_id"]
     w = Window.partitionBy(*key).orderBy("t", "side", "station")
     v = v.withColumn("pos", F.row_number().over(w) - 1).withColumn("last", F.count(F.lit(1)).over(Window.partitionBy(*key)) - 1)
     v = v.join(p, v.station == p.bpuic, "left")
-    return v.select(F.col("service_day").alias("day"), "number", F.col("trip_id").alias("journey"), "pos", "last", "side", "station", F.lit("XX").alias("country"), "lon", "lat", "t")
+    return v.select(F.col("service_day").alias("day"), "number", F.col("trip_id").alias("journey"), "pos", "last", "side", F.when(F.pmod("station", F.lit(3)) == 0, F.col("station")).alias("station"), F.lit("XX").alias("country"), "lon", "lat", "t")
 
 
 def lnk03_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measured and planned legs as two datasets that share their stations."""
-    return K.judged(_calls(spark, sf_dir, 0), _calls(spark, sf_dir, 1))
+    """Measured and planned legs as two datasets that share every third station."""
+    return K.judged(_calls(spark, sf_dir, 0), _calls(spark, sf_dir, 1), ("XX", "XX"), spark.createDataFrame([(-1,)], "station bigint"))
+
+
+def lnk04_linked_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _calls(spark, sf_dir, 0), _calls(spark, sf_dir, 1)
+    return K.linked_days(a, b, ("XX", "XX"), (a.select("station"), b.select("station"))).select("from_side", "day", "number", "journey_a", "journey_b", "kind", "dur")
 
 
 def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +260,7 @@ def geo10_network(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (q01_window, q02_search, q03_journey_spans, q04_journey_routes, q05_station_board, q08_covered_day, pos01_positions, pos02_active, pos03_delay_steps, ag20_running, lnk01_crosswalk_pairs, lnk01_crosswalk, lnk02_visits, lnk03_judged, lnk05_one_per_end, lnk06_bridge_pairs, lnk07_hidden, geo01_fitted_box, geo02_lengths, geo08_quantized, geo09_train_points, geo10_network)
+    for f in (q01_window, q02_search, q02_search_datasets, so04_board_head, so05_merged, q07_coverage, q09_initial_day, q11_linked, lnk08_bridge_legs, lnk08_linked_ends, flt13_shown_groups, lnk06b_edge_distances, q03_journey_spans, q04_journey_routes, q05_station_board, q08_covered_day, pos01_positions, pos02_active, pos03_delay_steps, ag20_running, lnk01_crosswalk_pairs, lnk01_crosswalk, lnk02_visits, lnk03_judged, lnk04_linked_days, lnk05_one_per_end, lnk06_bridge_pairs, lnk07_hidden, geo01_fitted_box, geo02_lengths, geo08_quantized, geo09_train_points, geo10_network)
 }
 
 _DAY = "(date '1970-01-01' + (t_dep // 86400)::int)::date"
@@ -185,11 +278,53 @@ _QUANT = f"""with {_LINES}, q0 as (select route_id, {_GRID.format(v='pa.lon', lo
 _VISITS = "v as (select service_day, trip_id, 'dep' as side, from_bpuic as station, t_dep as t from {0} where route_start = 0 union all select service_day, trip_id, 'arr', to_bpuic, t_dep + dur from {0} where route_end = 255)"
 _TRAIN = "case when regexp_matches(split_part(list_extract(string_split(trip_id, ':'), -1), '-', 1), '^[0-9]+$') then ltrim(split_part(list_extract(string_split(trip_id, ':'), -1), '-', 1), '0') end"
 
+_AB = f"""a as (select {_DAY} as day, 'd' || (type_id % 3) as dataset, type_id % 3 as k, count(*) as legs from legs group by all), days as (select dataset, day, legs from a where (day - date '1970-01-01') % (k + 3) <> 0)"""
+_LINKED = f"""links as (select {_DAY} as day, 'a' as from_dataset, leg_id as from_journey, 'b' as to_dataset, to_journey, case when flags % 2 = 1 then 'bridge' else 'handover' end as kind, t_dep, dur, type_id, delay from (select *, lead(leg_id) over (partition by route_id, t_dep // 86400 order by t_dep, leg_id) as to_journey from legs) where to_journey is not null)"""
+_CALLS = "c{0} as (select service_day as day, {1}::bigint % 400 as number, trip_id as journey, (row_number() over w - 1) as pos, (count(*) over (partition by service_day, trip_id) - 1) as last, side, case when station % 3 = 0 then station end as station, lon, lat, t from v{0} left join q on bpuic = station where {1} is not null window w as (partition by service_day, trip_id order by t, side, station))"
+_SPOT = "{'t': t, 'side': side, 'lon': lon, 'lat': lat, 'station': station}"
+
+
+def _judged_sql(a: str, b: str, out: str, seen: str = "") -> str:
+    ends = "e{0} as (with h as (select day, number, journey, arg_min(SPOT, pos) as s, arg_max(SPOT, pos) as e from {0} group by all) select h.*, arg_min(SPOT, pos) filter ({0}.lon is distinct from s.lon or {0}.lat is distinct from s.lat) as after, arg_max(SPOT, pos) filter ({0}.lon is distinct from e.lon or {0}.lat is distinct from e.lat) as before from h join {0} using (day, number, journey) group by all)"  # noqa: E501
+    way = lambda p, q: f"degrees(atan2(({q}.lon - {p}.lon) * cos(radians({p}.lat)), {q}.lat - {p}.lat))"
+    turn = lambda x, y: f"abs((({y}) - ({x}) + 540) % 360 - 180)"
+    return f"""{ends.format(a).replace('e' + a + ' as', out + 'a as').replace('SPOT', _SPOT)}, {ends.format(b).replace('e' + b + ' as', out + 'b as').replace('SPOT', _SPOT)},
+ {out}p as (select x.day, x.number, x.journey as journey_a, y.journey as journey_b, x.e as e, x.before as bf, y.s as s, y.e as ye, y.after as af from {out}a x join {out}b y using (day, number) where y.s.t >= x.s.t),
+ {out}m as (select x.day, x.number, x.journey as journey_a, y.journey as journey_b, arg_min({{'pa': x.pos, 'la': x.last, 'pb': y.pos}}, (x.pos, y.pos)) as m from {a} x join {b} y using (day, number, station) where abs(x.t - y.t) <= 600 group by all),
+ {out}d as (select *, s.t - e.t as gap, {_CIRCLE.format(a='e.lon', b='e.lat', c='s.lon', d='s.lat')} as dist, {turn(way('bf', 'e'), way('e', 's'))} as t1, {turn(way('e', 's'), way('s', 'af'))} as t2 from {out}p left join {out}m using (day, number, journey_a, journey_b)),
+ {out} as (select day, number, journey_a, journey_b, e.t as t_dep, gap, case when m is not null and ye.t <= e.t then null when m is not null and m.pa = m.la and m.pb = 0 then 'handover' when m is not null then 'overlap'
+  when e.side = 'arr' and s.side = 'dep' and gap between 60 and 5400 and dist <= 100000 and dist / gap between 4 and 70 and (bf is null or af is null or greatest(t1, t2) <= 135){seen} then 'bridge' end as kind from {out}d)"""
+
+
+_UNSEEN = " and coalesce(e.station not in (select station from sh), true) and coalesce(s.station not in (select station from sh), true)"
+_PAIRS = f"""with {D.LEGS}, {D.PLACES}, q as (select bpuic, max(lon) as lon, max(lat) as lat from places group by 1), l0 as (select * from legs where flags % 2 = 0), l1 as (select * from legs where flags % 2 = 1), {_VISITS.format('l0').replace('v as', 'v0 as')}, {_VISITS.format('l1').replace('v as', 'v1 as')}, {_CALLS.format(0, _TRAIN)}, {_CALLS.format(1, _TRAIN)}"""
+
 SQL = {
+    "q02_search_datasets": f"""with {D.LEGS}, x as (select *, type_id % 3 as dataset, replace(lower(coalesce(line, '')), ' ', '') as l, replace(lower(trip_id), ' ', '') as i from legs where t_dep between {AT // 86400 * 86400} and {AT // 86400 * 86400 + 86399}),
+ g as (select dataset::bigint as dataset, service_day, trip_id, min(case when l = 'ic' then 0 when i = 'ic' then 1 else 2 end)::bigint as rank, min(t_dep) as start, max(t_dep + dur) as "end", arg_min(route_id, (t_dep, leg_id))::bigint as route_id, first(line order by t_dep, leg_id) as line from x where contains(l, 'ic') or contains(i, 'ic') group by 1, 2, 3),
+ h as (select *, row_number() over (partition by dataset order by rank, start, service_day, trip_id) as n from g) select * exclude (n) from h where n <= 24 order by rank, start, dataset, service_day, trip_id limit 24""",
+    "so04_board_head": f"with {D.LEGS} select leg_id, t_dep from legs where t_dep between {AT} - 3600 and {AT} + 3000 and type_id in (0, 1, 2) order by t_dep, leg_id limit 36",
+    "so05_merged": f"with {D.LEGS} select leg_id, t_dep, (flags % 2)::bigint as dataset, row_number() over (order by t_dep, flags % 2, leg_id) as place from legs where t_dep between {AT} - 3600 and {AT} + 3000",
+    "q07_coverage": f"""with {D.LEGS}, {_AB}, i as (select 1514764800 + unnest(generate_series(0, 239)) * 21600 as "at"), e as (select dataset, min(day) as lo, max(day) as hi from days group by 1),
+ x as (select "at", (date '1970-01-01' + ("at" // 86400)::int)::date as day, "at" // 3600 as hour, e.* from i, e), y as (select x.*, d.legs from x left join days d on d.dataset = x.dataset and d.day = x.day),
+ z as (select "at", dataset, case when legs % 5 = 0 then 'cancelled' when legs % 3 = 0 and hour % 24 = 6 then 'gap_hour' when legs is not null then null when day between lo and hi then 'source_gap' else 'outside' end as notice from y)
+ select "at"::bigint as "at", arg_min(dataset, dataset) as dataset, arg_min(notice, dataset) as notice from z where notice is not null group by 1""",
+    "q09_initial_day": f"""with {D.LEGS}, {_AB}, n as (select count(distinct dataset) as n from days), s as (select min(day) as d from (select day from days group by 1 having count(*) = (select n from n) and (select n from n) > 1))
+ select coalesce((select d from s), (select max(day) from days where dataset = 'd0' and day = date '2018-01-15'), (select max(day) from days where dataset = 'd0' and legs >= 500), (select max(day) from days where dataset = 'd0')) as day""",
+    "q11_linked": f"with {D.LEGS}, {_LINKED} select 'a' as dataset, leg_id as journey, legs.t_dep as start, 'b' as other_dataset, to_journey as other_journey, kind from legs join links on from_journey = leg_id and day = {_DAY.replace('t_dep', 'legs.t_dep')}",
+    "lnk08_bridge_legs": f"with {D.LEGS}, {_LINKED} select from_dataset as dataset, from_journey + 65536 as route_id, from_journey as journey_id, 0::bigint as route_start, 1::bigint as route_end, t_dep, dur::bigint as dur, type_id::bigint as type_id, delay::bigint as delay, 128::bigint as flags from links where kind = 'bridge' and t_dep between {AT} - 86400 and {AT} + 86400",
+    "lnk08_linked_ends": f"with {D.LEGS}, {_LINKED} select day, from_dataset as dataset, from_journey as journey, 'end' as side from links union select day, to_dataset, to_journey, 'start' from links",
+    "flt13_shown_groups": f"with {D.LEGS} select l.type_id::bigint as type_id, count(*) as n from legs l left join train_types t using (type_id) where t.type_id is null or t.type_id < 3 or t.type_id >= 6 group by 1",
+    "lnk06b_edge_distances": f"""with s as (select dataset, bpuic as id, min({{'lon': lon, 'lat': lat}}) as p from (select 'at' as dataset, bpuic, lon, lat from dim_at union all select 'ch', bpuic, lon, lat from dim_ch union all select 'de', bpuic, lon, lat from dim_de) where lon between -180 and 180 and lat between -90 and 90 and not (lon = 0 and lat = 0) group by 1, 2),
+ nx as (select unnest(['at', 'ch', 'de']) as f, unnest(['ch', 'de', 'at']) as t), e as (select s.dataset, s.id, nx.t as other, p from s join nx on f = s.dataset union select s.dataset, s.id, nx.f, p from nx join s on s.dataset = nx.t where s.id = (select min(id) from s s2 where s2.dataset = nx.t)),
+ d as (select e.dataset, e.id, other, min({_CIRCLE.format(a='e.p.lon', b='e.p.lat', c='s.p.lon', d='s.p.lat')}) as m from e join s on s.dataset = other group by 1, 2, 3) select dataset, id as station, other, round(m, 2) as metres from d""",
+    "lnk03_judged": _PAIRS + ", " + _judged_sql("c0", "c1", "j") + " select day, number, journey_a, journey_b, kind, case when kind = 'bridge' then gap end as dur, case when kind = 'bridge' then t_dep end as t_dep from j where kind is not null",
+    "lnk04_linked_days": _PAIRS + ", sh as (select station from c0 where station is not null intersect select station from c1), " + _judged_sql("c0", "c1", "j", _UNSEEN) + ", " + _judged_sql("c1", "c0", "k", _UNSEEN)
+    + f""", u as (select 'a' as from_side, * from j union all select 'b', * from k) select from_side, day, number, journey_a, journey_b, kind, case when kind = 'bridge' then gap end as dur from u where kind is not null and (kind <> 'bridge' or {_DAY} = day)""",
     "q01_window": f"with {D.LEGS} select * from legs where t_dep between {AT} - 3600 and {AT} + 3000",
     "q02_search": f"""with {D.LEGS}, x as (select *, replace(lower(coalesce(line, '')), ' ', '') as l from legs where t_dep between {AT // 86400 * 86400} and {AT // 86400 * 86400 + 86399})
- select service_day, trip_id, min(case when l = 's1' then 0 when lower(trip_id) = 's1' then 1 else 2 end)::bigint as rank, min(t_dep) as start, max(t_dep + dur) as "end", arg_min(route_id, (t_dep, leg_id))::bigint as route_id, first(line order by t_dep, leg_id) as line
- from x where l like '%s1%' or lower(trip_id) like '%s1%' group by 1, 2 order by rank, start, service_day, trip_id limit 24""",
+ select service_day, trip_id, min(case when l = 's1' then 0 when replace(lower(trip_id), ' ', '') = 's1' then 1 else 2 end)::bigint as rank, min(t_dep) as start, max(t_dep + dur) as "end", arg_min(route_id, (t_dep, leg_id))::bigint as route_id, first(line order by t_dep, leg_id) as line
+ from x where l like '%s1%' or replace(lower(trip_id), ' ', '') like '%s1%' group by 1, 2 order by rank, start, service_day, trip_id limit 24""",
     "q03_journey_spans": f"with {D.LEGS} select {_DAY} as dep_day, service_day, trip_id, min(t_dep) as start, max(t_dep + dur) as \"end\", arg_min(route_id, (t_dep, leg_id))::bigint as route_id, count(*) as legs from legs group by 1, 2, 3",
     "q04_journey_routes": f"with {D.LEGS}, x as (select {_DAY} as dep_day, *, lag(route_id) over w as p from legs window w as (partition by {_DAY}, service_day, trip_id order by t_dep, leg_id)) select dep_day, service_day, trip_id, row_number() over (partition by dep_day, service_day, trip_id order by t_dep, leg_id) as pos, route_id::bigint as route_id from x where route_id is distinct from p",
     "q05_station_board": f"""with {D.LEGS}, h as (select *, {_DAY} as dep_day from legs where from_bpuic = {HUB} and t_dep between {AT} - 900 and {AT} + 7200 and route_start = 0),
