@@ -62,11 +62,13 @@ def search(legs: DataFrame, text: str, at: int, most: int = LISTED, by: tuple[st
 def initial_day(days: DataFrame, main: str, default: str, floor: int = 10_000) -> DataFrame:
     """day to begin with: the first that every dataset has; else `default` if the main dataset has it; else its last day with
     `floor` legs or more; else its last. days: dataset, day, legs."""
-    n = days.agg(F.countDistinct("dataset").alias("n"))
-    shared = days.groupBy("day").agg(F.countDistinct("dataset").alias("k")).join(F.broadcast(n), F.col("k") == F.col("n")).filter("n > 1").agg(F.min("day").alias("shared"))
+    k = days.groupBy("day").agg(F.countDistinct("dataset").alias("k"))
+    # a day that all have is one that as many have as there are: few datasets, so their number comes from the driver
+    n = days.select("dataset").distinct().count()
+    shared = k.filter((F.col("k") == n) & F.lit(n > 1)).agg(F.min("day").alias("shared"))
     d = F.lit(default).cast("date")
     own = days.filter(F.col("dataset") == main).agg(F.max(F.when(F.col("day") == d, d)).alias("d"), F.max(F.when(F.col("legs") >= floor, F.col("day"))).alias("full"), F.max("day").alias("last"))
-    return shared.join(own).select(F.coalesce("shared", "d", "full", "last").alias("day"))  # one row each
+    return shared.unionByName(own, True).agg(F.coalesce(F.max("shared"), F.max("d"), F.max("full"), F.max("last")).alias("day"))
 
 
 def coverage_notices(instants: DataFrame, datasets: DataFrame, days: DataFrame, cancelled: DataFrame, gaps: DataFrame) -> DataFrame:

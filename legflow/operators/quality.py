@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from legflow.operators.legs import SCHEDULED, SYNTHETIC, departure_day
@@ -75,3 +75,31 @@ def manifest(legs: DataFrame) -> DataFrame:
     d = legs.withColumn("dep_day", departure_day())
     j = d.select("dep_day", "service_day", "trip_id").distinct().groupBy("dep_day").agg(F.count(F.lit(1)).alias("journeys"))
     return d.groupBy("dep_day").agg(F.count(F.lit(1)).alias("legs"), F.min("t_dep").alias("first"), F.max("t_dep").alias("last")).join(j, "dep_day")
+
+
+def column_profile(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """column, value, n: how often each value of the columns stands, null as null; one pass, pre-aggregated."""
+    x = rows.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])))
+    return x.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def status_months(rows: DataFrame, day: str, status: str) -> DataFrame:
+    """month, status, n, first: which values of a status each month has, and since when, to see where a source changes its words."""
+    return rows.groupBy(F.trunc(day, "month").alias("month"), F.col(status).alias("status")).agg(F.count(F.lit(1)).alias("n"), F.min(day).alias("first"))
+
+
+def census(files: DataFrame, stub_below: int) -> DataFrame:
+    """month, usable, stub, absent of an archive's days (day, bytes): absent from its first to its last day."""
+    d = files.groupBy("day").agg(F.max("bytes").alias("bytes"))
+    spine = d.agg(F.min("day").alias("a"), F.max("day").alias("b")).filter("a IS NOT NULL").select(F.explode(F.sequence("a", "b")).alias("day"))
+    x = spine.join(d, "day", "left").groupBy(F.trunc("day", "month").alias("month"))
+    return x.agg(F.count_if(F.col("bytes") >= stub_below).alias("usable"), F.count_if(F.col("bytes") < stub_below).alias("stub"), F.count_if(F.col("bytes").isNull()).alias("absent"))
+
+
+def punctuality(legs: DataFrame, by: list[Column], late_s: int = 180) -> DataFrame:
+    """The groups' n, p50, p90 of delay and share of measured legs less than late_s late, exactly, from histograms of delay."""
+    m = legs.filter(F.col("flags").bitwiseAND(SCHEDULED) == 0)
+    names = [f"g{i}" for i in range(len(by))]
+    h = m.groupBy(*[c.alias(n) for c, n in zip(by, names)], F.col("delay").cast("bigint").alias("v")).agg(F.count(F.lit(1)).alias("k"))
+    p = lambda q: F.percentile("v", q, F.col("k")).alias(f"p{round(q * 100)}")
+    return h.groupBy(*names).agg(F.sum("k").alias("n"), p(0.5), p(0.9), F.round(F.sum(F.when(F.col("v") < late_s, F.col("k")).otherwise(0)) / F.sum("k"), 6).alias("punctual"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EARTH_M = 6_371_000.0
@@ -141,3 +141,22 @@ def near_pairs(points: DataFrame, key: str, radius_m: float, lon: str = "lon", l
     m = at.select("_k", F.struct("lon", "lat").alias("_q"))
     both = pairs.join(m.withColumnRenamed("_k", "a"), "_q").join(m.select(F.col("_k").alias("b"), F.col("_q").alias("_c")), "_c")
     return both.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias(f"{key}_a"), F.greatest("a", "b").alias(f"{key}_b")).distinct()
+
+
+def nearest_within(points: DataFrame, key: str, targets: DataFrame, target: str, radius_m: float, most: int) -> DataFrame:
+    """key, target, k, metres: each point's `most` nearest targets within radius_m (of equal distances the lesser first).
+
+    Both have lon, lat. Cells a radius wide; a point looks into the nine around it. Only those within the radius are ranked.
+    """
+    cell = radius_m / M_PER_DEG
+    wide = lambda r: cell / F.greatest(F.cos(F.radians(F.least(F.lit(90.0), F.greatest(F.abs(r * cell), F.abs((r + 1) * cell))))), F.lit(1e-6))
+    at = lambda d, k: d.filter(has_position() & F.col(k).isNotNull()).select(F.col(k).alias("_k"), "lon", "lat").distinct().withColumn("r", F.floor(F.col("lat") / cell))
+    a = at(points, key).withColumn("r", F.explode(F.array(F.col("r") - 1, F.col("r"), F.col("r") + 1)))
+    columns = F.greatest(F.lit(1), F.floor(360.0 / wide(F.col("r"))))
+    own = F.floor(F.pmod(F.col("lon") + 180, F.lit(360.0)) / 360 * columns)
+    a = a.withColumn("c", F.explode(F.array_distinct(F.array(*[F.pmod(own + i, columns) for i in (-1, 0, 1)]))))
+    b = at(targets, target).withColumn("c", F.pmod(own, columns)).select(F.col("_k").alias("_t"), F.col("lon").alias("x"), F.col("lat").alias("y"), "r", "c")
+    d = great_circle_m(F.col("lon"), F.col("lat"), F.col("x"), F.col("y"))
+    x = a.join(b, ["r", "c"]).withColumn("metres", d).filter(F.col("metres") <= radius_m).groupBy("_k", "_t").agg(F.min("metres").alias("metres"))
+    k = F.row_number().over(Window.partitionBy("_k").orderBy("metres", "_t"))
+    return x.withColumn("k", k).filter(F.col("k") <= most).select(F.col("_k").alias(key), F.col("_t").alias(target), "k", "metres")

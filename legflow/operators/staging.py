@@ -156,3 +156,28 @@ def labels(rows: DataFrame, by: list[str], label: str, order: list[str]) -> Colu
     """A label made unique within its group: the k-th bearer gets ` #k` from the second on."""
     k = F.row_number().over(Window.partitionBy(*by, label).orderBy(*order))
     return F.when(k == 1, F.col(label)).otherwise(F.concat(F.col(label), F.lit(" #"), k.cast("string")))
+
+
+def merged_calls(rows: DataFrame, run: list[str], pos: str, place: str, from_next: list[str]) -> DataFrame:
+    """Calls of a run in order without immediate repeats of a place: the first of two stays, with the next one's `from_next`
+    columns (a train that turns or divides arrives once and leaves once)."""
+    w = Window.partitionBy(*run).orderBy(pos)
+    again, twice = F.lag(place).over(w).eqNullSafe(F.col(place)) & (F.row_number().over(w) > 1), F.lead(place).over(w) == F.col(place)
+    x = rows.select("*", again.alias("_again"), F.coalesce(twice, F.lit(False)).alias("_twice"), *[F.lead(c).over(w).alias(f"_n_{c}") for c in from_next])
+    kept = x.filter("NOT _again")
+    return kept.select(*[F.when(F.col("_twice"), F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c) if c in from_next else F.col(c) for c in rows.columns], F.row_number().over(w).alias("seq"))
+
+
+def missing_hours(missing: DataFrame, zone: str) -> DataFrame:
+    """hour (epoch hours, UTC) whose file is missing, of (day, hour) named by local time: an hour that comes twice in autumn is
+    two, one that spring leaves out is none."""
+    local = F.timestamp_seconds(F.unix_date("day").cast("bigint") * 86_400 + F.col("hour") * 3600)
+    u = F.unix_seconds(F.to_utc_timestamp(local, zone))
+    tries = F.explode(F.array(u - 3600, u, u + 3600)).alias("t")
+    x = missing.select(local.alias("local"), tries)
+    return x.filter(F.from_utc_timestamp(F.timestamp_seconds("t"), zone) == F.col("local")).select(F.floor(F.col("t") / 3600).alias("hour")).distinct()
+
+
+def lost_days(missing: DataFrame, load_hours: tuple[int, ...] = (2, 3)) -> DataFrame:
+    """day whose timetable load (the files of these local hours) is missing."""
+    return missing.filter(F.col("hour").isin(*load_hours)).select("day").distinct()

@@ -354,3 +354,5 @@ SQL = {
     "geo09_train_points": _POS + f", {_LINES.replace(D.LEGS + ', ', '').replace('p as (select bpuic', 'pp as (select bpuic').replace('join p a', 'join pp a').replace('join p b', 'join pp b')} select p.leg_id, round(pa.lon + fraction * (pb.lon - pa.lon), 5) as lon, round(pa.lat + fraction * (pb.lat - pa.lat), 5) as lat from p join legs using (leg_id) join routes on routes.route_id = legs.route_id where state = 'moving'",
     "geo10_network": _QUANT + ", s as (select distinct route_id, least({'x': ax, 'y': ay}, {'x': bx, 'y': b_y}) as a, greatest({'x': ax, 'y': ay}, {'x': bx, 'y': b_y}) as b from q0 where ax <> bx or ay <> b_y) select a.x as ax, a.y as ay, b.x as bx, b.y as \"by\", count(*) as routes from s group by 1, 2, 3, 4",
 }
+SQL["lnk01_crosswalk"] = f"""with recursive p as ({SQL['lnk01_crosswalk_pairs']}), e as (select {{'dataset': a_dataset, 'id': a_id}} as u, {{'dataset': b_dataset, 'id': b_id}} as v from p union select {{'dataset': b_dataset, 'id': b_id}}, {{'dataset': a_dataset, 'id': a_id}} from p),
+ r as (select u as node, u as root from e union select e.v, r.root from r join e on e.u = r.node) select node.dataset as dataset, node.id as id, min(root).dataset as root_dataset, min(root).id as root_id from r group by node"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import re
 from collections.abc import Iterator, Sequence
 
@@ -78,8 +79,93 @@ def json_arrays(spark: SparkSession, paths: Sequence[str], schema: str) -> DataF
 
 
 def gtfs(spark: SparkSession, folder: str, name: str, columns: Sequence[str]) -> DataFrame:
-    """A table of a timetable export: <folder>/<name>.txt or .txt.gz."""
-    return csv_by_name(spark, [f"{folder}/{name}.txt"], columns, encoding="utf-8")
+    """A table of a timetable export: <folder>/<name>.txt or .txt.gz; both if both are there."""
+    P = spark._jvm.org.apache.hadoop.fs.Path
+    fs = P(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f for f in (f"{folder}/{name}.txt", f"{folder}/{name}.txt.gz") if fs.exists(P(f))]
+    if not found:
+        raise FileNotFoundError(f"{folder}/{name}.txt")
+    return csv_by_name(spark, found, columns, encoding="utf-8")
+
+
+def snapshots(spark: SparkSession, pattern: str, columns: Sequence[str]) -> DataFrame:
+    """Files of one table by day (a glob such as stops-*.txt.gz) with `snap`, the date in the file's name; files without are left out."""
+    x = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(pattern)
+    x = x.select(*[(F.col(f"`{c}`") if c in x.columns else F.lit(None)).cast("string").alias(c) for c in columns], snapshot_day(F.col("_metadata.file_name")).alias("snap"))
+    return x.filter("snap IS NOT NULL")
+
+
+def months_for(first: str, last: str) -> list[str]:
+    """yyyy-mm of the monthly files that can hold service days of [first, last]: a ride of the day before may run into the
+    first, one of the last may be filed up to two days later."""
+    a, b = datetime.date.fromisoformat(first) - datetime.timedelta(1), datetime.date.fromisoformat(last) + datetime.timedelta(2)
+    return [f"{k // 12:04d}-{k % 12 + 1:02d}" for k in range(a.year * 12 + a.month - 1, b.year * 12 + b.month)]
+
+
+def month_files(spark: SparkSession, folder: str, first: str, last: str) -> DataFrame:
+    """Monthly Parquet files <folder>/<yyyy-mm>.parquet of months_for(); a missing one raises."""
+    return spark.read.parquet(*[f"{folder}/{m}.parquet" for m in months_for(first, last)])
+
+
+def dictionary(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
+    """key, value of a JSON object whose names are keys; values as they are written (JSON for lists and objects)."""
+    text = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "map<string, string>").alias("m"))
+    return text.select(F.explode("m").alias(key, value))
+
+
+def largest_members(listing: DataFrame) -> DataFrame:
+    """name, size, path of archive members (name, size, path): folders and empty ones are none, of duplicates the largest counts."""
+    x = listing.filter(~F.col("name").endswith("/") & (F.col("size") > 0))
+    return x.groupBy("name").agg(F.max(F.struct("size", "path")).alias("m")).select("name", "m.size", "m.path")
+
+
+def extracted_days(rows: DataFrame, day: str, path: str) -> DataFrame:
+    """Rows of an archive day kept as Parquet under <path>/<day>=...; days that are there already are not worked out again."""
+    spark = rows.sparkSession
+    P = spark._jvm.org.apache.hadoop.fs.Path
+    p = P(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [s.getPath().getName().partition("=")[2] for s in fs.listStatus(p)] if fs.exists(p) else []
+    todo = rows.filter(~F.col(day).cast("string").isin(*[d for d in done if d])) if any(done) else rows
+    todo.write.mode("append").partitionBy(day).parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+# What an Italian day file may hold for a train and a call, and the marks that stand for a delay.
+IT_TRAIN = frozenset("_id n p rp a ra c sub op oa fr cn dl oo od sep sea ope oae pr".split())
+IT_CALL = frozenset("n ra rp oa op br bp".split())
+IT_MARK = r"^(-?[0-9]+|N|S|X|n\.d\.)$"
+
+
+def italian_day(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(trains, calls) of day files, one JSON object each: giorno, treni of the fields IT_TRAIN with calls fr of IT_CALL.
+
+    A field or a mark of delay nobody knows raises when the rows are read: a source that changes must not pass unseen.
+    """
+    text = spark.read.option("wholetext", True).text(list(paths))
+    day = text.select(F.get_json_object("value", "$.giorno").alias("service_day"), F.from_json(F.get_json_object("value", "$.treni"), "array<map<string, string>>").alias("t"))
+    t = day.select(F.to_date("service_day").alias("service_day"), F.posexplode("t").alias("tidx", "m"))
+    known = lambda keys, m: F.size(F.array_except(F.map_keys(m), F.array(*map(F.lit, sorted(keys))))) == 0
+    check = lambda ok, what, v: F.when(ok, v).otherwise(F.raise_error(what))
+    field = lambda k: F.element_at("m", F.lit(k))
+    mark = lambda v: check(v.isNull() | v.rlike(IT_MARK), F.concat(F.lit("unknown mark "), v), v)
+    t = t.withColumn("m", check(known(IT_TRAIN, F.col("m")), F.concat(F.lit("unknown field of a train: "), F.array_join(F.map_keys("m"), ",")), F.col("m")))
+    t = t.withColumn("calls", F.coalesce(F.from_json(field("fr"), "array<map<string, string>>"), F.array().cast("array<map<string,string>>")))
+    trains = t.select("service_day", "tidx", field("_id").alias("source_id"), field("n").alias("number"), *[field(k).alias(k) for k in ("c", "sub", "p", "a", "cn", "dl", "oo", "od", "sep", "sea", "ope", "oae")], mark(field("rp")).alias("rp"), mark(field("ra")).alias("ra"), field("op").try_cast("bigint").alias("op"), field("oa").try_cast("bigint").alias("oa"), F.size("calls").alias("n_stops"))
+    c = t.select("service_day", "tidx", F.posexplode("calls").alias("seq", "m"))
+    c = c.withColumn("m", check(known(IT_CALL, F.col("m")), F.concat(F.lit("unknown field of a call: "), F.array_join(F.map_keys("m"), ",")), F.col("m")))
+    calls = c.select("service_day", "tidx", "seq", field("n").alias("name"), field("oa").try_cast("bigint").alias("s_arr"), field("op").try_cast("bigint").alias("s_dep"), mark(field("ra")).alias("ra"), mark(field("rp")).alias("rp"))
+    return trains, calls
+
+
+def merged_extracts(nodes: DataFrame, ways: DataFrame, rail: tuple[str, ...] = ("rail", "light_rail", "narrow_gauge", "subway", "tram")) -> tuple[DataFrame, DataFrame]:
+    """(nodes, ways) of map extracts that overlap: each id once, only ways of `rail` and the nodes they need.
+
+    nodes: id, lon, lat; ways: id, railway, nodes (array of ids).
+    """
+    w = ways.filter(F.col("railway").isin(*rail)).dropDuplicates(["id"])
+    need = w.select(F.explode("nodes").alias("id")).distinct()
+    return nodes.join(need, "id", "left_semi").groupBy("id").agg(F.min(F.struct("lon", "lat")).alias("p")).select("id", "p.lon", "p.lat"), w
 
 
 # The shapes of dated file names.
