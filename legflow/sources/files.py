@@ -109,7 +109,7 @@ def month_files(spark: SparkSession, folder: str, first: str, last: str) -> Data
 
 def dictionary(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
     """key, value of a JSON object whose names are keys; values as they are written (JSON for lists and objects)."""
-    text = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "map<string, string>").alias("m"))
+    text = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, string>").alias("m"))
     return text.select(F.explode("m").alias(key, value))
 
 
@@ -142,7 +142,7 @@ def italian_day(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, D
 
     A field or a mark of delay nobody knows raises when the rows are read: a source that changes must not pass unseen.
     """
-    text = spark.read.option("wholetext", True).text(list(paths))
+    text = spark.read.text(list(paths), wholetext=True)
     day = text.select(F.get_json_object("value", "$.giorno").alias("service_day"), F.from_json(F.get_json_object("value", "$.treni"), "array<map<string, string>>").alias("t"))
     t = day.select(F.to_date("service_day").alias("service_day"), F.posexplode("t").alias("tidx", "m"))
     known = lambda keys, m: F.size(F.array_except(F.map_keys(m), F.array(*map(F.lit, sorted(keys))))) == 0
