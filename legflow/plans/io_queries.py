@@ -57,7 +57,7 @@ def src03_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stop listings as compressed files with the day in their folder's name, as a glob."""
     at = scratch(spark, "snaps")
     x = table(spark, sf_dir, "raw_stops").filter("stop_id RLIKE '^[0-9]+$'").select("snap", "stop_id", F.trim("stop_lat").alias("stop_lat")).filter("stop_lat RLIKE '^[0-9.]+$'").distinct()
-    x.withColumn("day", F.col("snap")).repartition("day").write.partitionBy("day").option("header", True).option("compression", "gzip").csv(at)
+    x.withColumn("day", F.col("snap")).repartition("day").write.partitionBy("day").option("header", True).option("compression", "gzip").csv(f"{at}/d")
     P_ = spark._jvm.org.apache.hadoop.fs.Path
     fs = P_(at).getFileSystem(spark._jsc.hadoopConfiguration())
     for i, f in enumerate(_listed(spark, at)):  # the day goes into the file's name
@@ -79,7 +79,7 @@ def src05_json_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of a day as one array of objects with their lines, a file a day."""
     at = scratch(spark, "json")
     o = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("lines"))
-    o.groupBy((F.col("l_orderkey") % 4).alias("p")).agg(F.to_json(F.collect_list(F.struct("l_orderkey", "lines"))).alias("value")).repartition(4, "p").write.partitionBy("p").text(at)
+    o.groupBy((F.col("l_orderkey") % 4).alias("p")).agg(F.to_json(F.collect_list(F.struct("l_orderkey", "lines"))).alias("value")).repartition(4, "p").write.partitionBy("p").text(f"{at}/d")
     x = files.json_arrays(spark, _listed(spark, at), "l_orderkey bigint, lines array<struct<l_linenumber: bigint, l_partkey: bigint>>")
     return x.select("l_orderkey", F.inline("lines"))
 
@@ -109,7 +109,7 @@ def src11_italian_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     call = F.struct(F.concat(F.lit("S"), "l_suppkey").alias("n"), F.when(F.col("l_returnflag") == "R", "S").otherwise((F.col("l_partkey") % 9).cast("string")).alias("ra"), F.lit("n.d.").alias("rp"), (F.col("l_linenumber") * 60).cast("string").alias("oa"))
     t = l.groupBy("day", "o_orderkey").agg(F.array_sort(F.collect_list(call)).alias("fr")).select("day", F.struct(F.col("o_orderkey").cast("string").alias("_id"), F.lit("7").alias("n"), F.lit("0").alias("rp"), F.lit("0").alias("ra"), "fr").alias("t"))
     d = t.groupBy("day").agg(F.collect_list("t").alias("treni")).select(F.to_json(F.struct(F.col("day").cast("string").alias("giorno"), "treni")).alias("value"), "day")
-    d.repartition("day").write.partitionBy("day").text(at)
+    d.repartition("day").write.partitionBy("day").text(f"{at}/d")
     trains, calls = files.italian_day(spark, _listed(spark, at))
     return calls.join(trains.select("service_day", "tidx", "source_id", "n_stops"), ["service_day", "tidx"]).select("service_day", F.col("source_id").cast("bigint").alias("o_orderkey"), F.col("n_stops").cast("bigint").alias("n_stops"), "name", "ra", "rp", "s_arr")
 
@@ -131,8 +131,8 @@ def src15_latest_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def src19_route_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routes written as a binary pack and read back as grid points."""
     at = scratch(spark, "pack")
-    P.write_pack(_routes(spark, sf_dir).withColumn("flag", F.lit(0)), BOX, f"{at}.brts")
-    x = G.read_packs(spark.read.format("binaryFile").load(f"{at}.brts"))
+    P.write_pack(_routes(spark, sf_dir).withColumn("flag", F.lit(0)), BOX, f"{at}/routes.brts")
+    x = G.read_packs(spark.read.format("binaryFile").load(f"{at}/routes.brts"))
     return x.select("route_id", F.posexplode("grid").alias("i", "p")).select("route_id", F.col("i").cast("bigint").alias("i"), F.col("p.x").cast("bigint").alias("x"), F.col("p.y").cast("bigint").alias("y"))
 
 
@@ -140,9 +140,9 @@ def snk01_day_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Day files written twice, the second time one month only, and read back."""
     at = scratch(spark, "days")
     w = L.wire(D.legs(spark, sf_dir))
-    L.write_days(w, at)
-    L.write_days(spark.read.parquet(at).filter("month(dep_day) = 1").select(*w.columns), f"{at}-copy")
-    return spark.read.parquet(at).withColumn("dep_day", F.col("dep_day").cast("date")).select(*w.columns)
+    L.write_days(w, f"{at}/a")
+    L.write_days(spark.read.parquet(f"{at}/a").filter("month(dep_day) = 1").select(*w.columns), f"{at}/b")
+    return spark.read.parquet(f"{at}/a").withColumn("dep_day", F.col("dep_day").cast("date")).select(*w.columns)
 
 
 def snk02_journey_files(spark: SparkSession, sf_dir: str) -> DataFrame:

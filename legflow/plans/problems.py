@@ -55,7 +55,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.station_history(table(spark, sf_dir, "raw_stops"))
+    h = history.station_history(table(spark, sf_dir, "raw_stops"))
+    return h.withColumns({c: F.col(c).cast("double") for c in ("lat", "lon")})
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,6 +122,7 @@ e as (select lon as x0, lat as y0, coalesce(lead(lon) over w, first(lon) over (o
 d as (select * from ({_STATIONS}) where lon between -180 and 180 and lat between -90 and 90 and not (lon = 0 and lat = 0))
 select distinct bpuic, 'hubs' as area from (select bpuic, lon, lat from d, e where least(y0, y1) <= lat and lat < greatest(y0, y1) and x0 + (lat - y0) / (y1 - y0) * (x1 - x0) > lon group by all having count(*) % 2 = 1)""",
     "p5_found": _SNAPS + "select bpuic, snap::varchar as valid_from, valid_to::varchar as valid_to from p",
+    "p5_history": _SNAPS + "select bpuic, name, lat::double as lat, lon::double as lon, snap as valid_from, valid_to from p",
     "p6_found": f"select distinct leg_id from ({_FAULTS})",
     "p6_faults": _FAULTS,
 }

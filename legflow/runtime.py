@@ -42,9 +42,18 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+def _to_go(spark: SparkSession, path: str) -> None:
+    """The JVM removes the path when it ends, also after the session was stopped."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed with the tables of cut()."""
+    """A new folder in the shared one, removed with the tables of cut()."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
+    _to_go(spark, path)
     _written.append((spark, path))
     return path
 
@@ -55,11 +64,13 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     Against checkpoint() the plan runs once rather than twice, and later readers prune columns.
     """
     spark = df.sparkSession
-    path = scratch(spark, "cut")
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     w = df.write.mode("errorifexists")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+    _to_go(spark, path)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
