@@ -107,18 +107,24 @@ def known_words(documents: DataFrame, text: str) -> tuple[frozenset[str], int]:
     return frozenset(r.word for r in rows), total
 
 
-def _hashes(table: DataFrame, key: str, text: str, known: frozenset[str]) -> DataFrame:
-    """_key, _text (the text's own hash), n (words), h (array of window hashes by position)."""
-    shared = table.sparkSession.sparkContext.broadcast(known)
+def _hashes(table: DataFrame, key: str, text: str, known: frozenset[str], wanted: np.ndarray | None = None) -> DataFrame:
+    """_key, _text (the text's own hash), n (words), h: array of window hashes by position; with `wanted` (sorted) only those
+    among them, once each."""
+    shared = table.sparkSession.sparkContext.broadcast((known, wanted))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        k = shared.value
+        k, only = shared.value
         for b in batches:
             n, h = [], []
             for t in b["t"]:
                 w = words_of(t)
                 n.append(len(w))
-                h.append(windows(*codes(w, k)) if len(w) >= WINDOW else np.zeros(0, dtype=np.int64))
+                x = windows(*codes(w, k)) if len(w) >= WINDOW else np.zeros(0, dtype=np.int64)
+                if only is not None:
+                    x = np.unique(x)
+                    at = np.searchsorted(only, x)
+                    x = x[(at < len(only)) & (only[np.minimum(at, len(only) - 1)] == x)] if len(only) else x[:0]
+                h.append(x)
             yield pd.DataFrame({"_key": b["_key"], "_text": b["_text"], "n": n, "h": h})
 
     kind = dict(table.dtypes)[key]
@@ -243,17 +249,19 @@ def leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_
 
     Words the corpus has in common (windows that stand apart from their item in more than COMMON_SHARE of all distinct
     texts, see _common) do not count, neither among the held nor among those to be held. Null, empty and short texts (under WINDOW words) hold nothing and are held by nothing.
-    Documents with equal keys count as one if they are equal. Item windows are joined by broadcast up to
-    WINDOWS_BROADCAST of them, beyond that by a shuffle of both sides on the hash.
+    Documents with equal keys count as one if they are equal. Item windows, up to
+    WINDOWS_BROADCAST of them, are looked up while documents are read, beyond that by a shuffle of both sides on the hash.
     """
     known, _ = known_words(documents, text)
-    docs = cut(_hashes(documents.filter(F.col(text).isNotNull()), doc_key, text, known).withColumn("_row", F.monotonically_increasing_id()))
     it = cut(_hashes(items.filter(F.col(text).isNotNull()).select(item_key, text).distinct(), item_key, text, known))
     place = it.select(F.col("_key").alias("item"), F.col("n").alias("words"), F.posexplode("h").alias("k", "h"))
     wanted = place.select("h").distinct()
-    small = broadcast_checked(wanted, WINDOWS_BROADCAST)
+    # the items' windows, not the corpus's: up to WINDOWS_BROADCAST of them go to the workers, which keep hits only
+    few = wanted.limit(WINDOWS_BROADCAST + 1).toPandas()["h"].to_numpy(dtype=np.int64)
+    few = np.sort(few) if len(few) <= WINDOWS_BROADCAST else None
+    docs = cut(_hashes(documents.filter(F.col(text).isNotNull()), doc_key, text, known, few).withColumn("_row", F.monotonically_increasing_id()))
     each = docs.select("_row", "_key", "_text", F.explode(F.array_distinct("h")).alias("h"))
-    hit = cut(each.join(small if small is not None else wanted, "h"))
+    hit = each if few is not None else cut(each.join(wanted, "h"))
     # distinct texts per item window, over all documents: a window counts once a text, however often that is copied
     texts = docs.filter("n > 0").select("_text").distinct().count()
     corpus = _common(hit.select("_text", "h").distinct(), place, max(3.0, COMMON_SHARE * texts)).withColumn("common", F.lit(True))

@@ -62,3 +62,23 @@ def test_frequent_leaks_are_no_corpus_text(spark):
     leaked |= {i: 2 for i in range(1200, 1300)}
     d, i = spark.createDataFrame([(*x, 1, "z") for x in docs], D), spark.createDataFrame([(*x, "q") for x in items], I)
     assert {(x.doc_id, x.item_id) for x in L.leaks(d, i).collect()} == set(leaked.items())
+
+
+def test_many_item_windows_go_by_a_join(spark, monkeypatch):
+    docs, items = corpus()
+    d, i = spark.createDataFrame([(*x, 1, "z") for x in docs], D), spark.createDataFrame([(*x, "q") for x in items], I)
+    few = {tuple(x) for x in L.leaks(d, i).collect()}
+    monkeypatch.setattr(L, "WINDOWS_BROADCAST", 1)
+    assert {tuple(x) for x in L.leaks(d, i).collect()} == few and few
+
+
+def test_rare_and_frequent_leaks_alike(spark):
+    r = random.Random(12)
+    say = lambda n: " ".join(r.choice(WORDS) for _ in range(n))
+    common = say(16)
+    items = [(0, say(45)), (1, say(45)), (2, say(20) + " " + common + " " + say(20))]
+    docs = [(i, say(50) + (" " + common if i % 5 == 0 else "")) for i in range(650)]
+    leaked = {2000: 0} | {2100 + i: 1 for i in range(50)} | {2200 + i: 2 for i in range(300)}  # 0.1 %, 5 % and 30 % of the documents
+    docs += [(i, say(15) + " " + items[k][1] + " " + say(15)) for i, k in leaked.items()]
+    d, i = spark.createDataFrame([(*x, 1, "z") for x in docs], D), spark.createDataFrame([(*x, "q") for x in items], I)
+    assert {(x.doc_id, x.item_id) for x in L.leaks(d, i).collect()} == set(leaked.items())
