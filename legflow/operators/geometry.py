@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from legflow.runtime import cut
 from legflow.operators.spatial import M_PER_DEG
 
 # Fixed values of the binary pack: magic, version, greatest grid number.
@@ -175,17 +176,26 @@ def snapped(stations: DataFrame, nodes: DataFrame) -> DataFrame:
     return j.withColumn("_k", k).filter(F.col("_k") <= SNAP_MOST).select("station", "node", "metres")
 
 
+MOST_NODES = 5_000_000
+
+
 def routed(pairs: DataFrame, stations: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """route_id, line, metres, reason of each pair of stations over an undirected rail graph.
 
     pairs: route_id, from_station, to_station. edges: u, v. Each station is a node of its own, tied to the nodes near it at
     SNAP_COST a metre. A pair gets the straight line instead, with a reason: unsnappable (an end has no node near),
     unreachable, absurd_detour (over DETOUR times the straight way and DETOUR_M longer). Sources are spread over the
-    executors; the graph goes to each as arrays, so it must fit a worker (a country's rails are some 10 MB).
+    executors; the graph goes to each of them, so it must fit a worker: over MOST_NODES nodes, edges or stations in use
+    raise (a country's rails are under a million nodes, some 10 MB).
     """
     import builtins
 
     spark = pairs.sparkSession
+    used = pairs.select(F.col("from_station").alias("station")).union(pairs.select("to_station")).distinct()
+    stations = cut(stations.join(used, "station", "left_semi"))
+    for what, d in (("nodes", nodes), ("edges", edges), ("stations", stations)):
+        if d.limit(MOST_NODES + 1).count() > MOST_NODES:
+            raise ValueError(f"over {MOST_NODES} {what}: route one region at a time")
     snaps: dict[int, list[tuple[int, float]]] = {}
     for r in snapped(stations, nodes).collect():
         snaps.setdefault(r.station, []).append((r.node, r.metres))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,14 +17,32 @@ ORDER = ("handover", "overlap", "bridge")
 HIDE = 180
 
 
+# Words that say nothing of which place a name means.
+NOISE = ('bf', 'bahnhof', 'hbf', 'station', 'gare', 'stazione', 'centraal', 'sncf', 'db', 'sbb', 'cff', 'ffs', 'bhf', 'de', 'd', 'la', 'le', 'st', 'sankt', 'saint')
+
+
+def _folded_letters() -> tuple[str, str]:
+    """Lower-case letters of the extended Latin blocks that are a plain letter with marks, and those plain letters."""
+    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))) for c in [*range(0xDF, 0x250), *range(0x1E00, 0x1F00)]]
+    pairs = [(x, y[0]) for x, y in pairs if x == x.lower() and y[0].isascii() and y[0].isalpha() and all(map(unicodedata.combining, y[1:]))]
+    return "".join(x for x, _ in pairs), "".join(y for _, y in pairs)
+
+
+MARKED, PLAIN = _folded_letters()
+
+
 def squashed(name: Column) -> Column:
-    """A name for comparison: lower case, accents of the European alphabets off, words apart by single blanks."""
-    plain = F.translate(F.lower(name), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
+    """A name for comparison: lower case, marks off the letters of the Latin alphabets, loose marks dropped, words (letters of
+    any alphabet and digits) apart by single blanks."""
+    plain = F.regexp_replace(F.translate(F.lower(name), MARKED, PLAIN), r"\p{M}+", "")
+    return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "))
 
 
 def words(name: Column) -> Column:
-    return F.array_distinct(F.split(squashed(name), " "))
+    """The different words of a name without NOISE; all of them where nothing else is left."""
+    all_ = F.array_distinct(F.split(squashed(name), " "))
+    some = F.array_except(all_, F.array(*map(F.lit, NOISE)))
+    return F.when(F.size(some) > 0, some).otherwise(all_)
 
 
 def similar(a: Column, b: Column) -> Column:

@@ -253,6 +253,16 @@ def geo09_train_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("leg_id", F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"))
 
 
+def geo06_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every route over a graph whose nodes are the stations and whose edges are the routes themselves."""
+    p = D.places(spark, sf_dir).filter(has_position()).groupBy("bpuic").agg(F.max(F.struct("lon", "lat")).alias("p")).select(F.col("bpuic").alias("station"), "p.lon", "p.lat")
+    r = D.legs(spark, sf_dir).groupBy(F.col("route_id").cast("bigint").alias("route_id")).agg(F.min(F.struct("from_bpuic", "to_bpuic")).alias("e")).select("route_id", F.col("e.from_bpuic").alias("from_station"), F.col("e.to_bpuic").alias("to_station"))
+    have = p.select("station")
+    r = r.join(have.withColumnRenamed("station", "from_station"), "from_station", "left_semi").join(have.withColumnRenamed("station", "to_station"), "to_station", "left_semi")
+    out = G.routed(r, p, p.withColumnRenamed("station", "node"), r.select(F.col("from_station").alias("u"), F.col("to_station").alias("v")).distinct())
+    return out.select("route_id", F.round("metres", 1).alias("metres"), "reason")
+
+
 def geo10_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = G.network(_routes(spark, sf_dir).select("route_id", G.quantized(F.col("line"), BOX).alias("grid")))
     return n.select(*[F.col(c).cast("bigint").alias(c) for c in n.columns])
@@ -260,7 +270,7 @@ def geo10_network(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (q01_window, q02_search, q02_search_datasets, so04_board_head, so05_merged, q07_coverage, q09_initial_day, q11_linked, lnk08_bridge_legs, lnk08_linked_ends, flt13_shown_groups, lnk06b_edge_distances, q03_journey_spans, q04_journey_routes, q05_station_board, q08_covered_day, pos01_positions, pos02_active, pos03_delay_steps, ag20_running, lnk01_crosswalk_pairs, lnk01_crosswalk, lnk02_visits, lnk03_judged, lnk04_linked_days, lnk05_one_per_end, lnk06_bridge_pairs, lnk07_hidden, geo01_fitted_box, geo02_lengths, geo08_quantized, geo09_train_points, geo10_network)
+    for f in (q01_window, q02_search, q02_search_datasets, so04_board_head, so05_merged, q07_coverage, q09_initial_day, q11_linked, lnk08_bridge_legs, lnk08_linked_ends, flt13_shown_groups, lnk06b_edge_distances, q03_journey_spans, q04_journey_routes, q05_station_board, q08_covered_day, pos01_positions, pos02_active, pos03_delay_steps, ag20_running, lnk01_crosswalk_pairs, lnk01_crosswalk, lnk02_visits, lnk03_judged, lnk04_linked_days, lnk05_one_per_end, lnk06_bridge_pairs, lnk07_hidden, geo01_fitted_box, geo02_lengths, geo08_quantized, geo09_train_points, geo06_routed, geo10_network)
 }
 
 _DAY = "(date '1970-01-01' + (t_dep // 86400)::int)::date"
@@ -269,7 +279,9 @@ _POS = f"""with {D.LEGS}, x as (select * from legs where t_dep between {AT} - 86
  s as (select *, case when c.t_dep + c.dur >= {AT} then 'moving' when c is not null and n is not null then 'dwelling' when c.t_dep + c.dur + 900 >= {AT} then 'arriving' when c is null and n.t_dep - 900 <= {AT} then 'waiting' end as state from g),
  p as (select service_day, trip_id, state, coalesce(c.leg_id, n.leg_id) as leg_id, round(case when state = 'moving' then (c.a + ({AT} - c.t_dep) / c.dur::double * (c.b - c.a)) / 255 when state = 'waiting' then n.a / 255 else c.b / 255 end, 6) as fraction,
   round(case when state = 'arriving' then 1 - ({AT} - c.t_dep - c.dur) / 900 when state = 'waiting' then 1 - (n.t_dep - {AT}) / 900 else 1.0 end, 6)::double as opacity from s where state is not null)"""
-_SQUASH = "trim(regexp_replace(translate(lower(name), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', ' ', 'g'))"
+_SQUASH = f"trim(regexp_replace(regexp_replace(translate(lower(name), '{K.MARKED}', '{K.PLAIN}'), '\\p{{M}}+', '', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+_WORDS = f"list_distinct(string_split({_SQUASH}, ' '))"
+_TELLING = f"list_filter({_WORDS}, lambda x: not list_contains({list(K.NOISE)!r}, x))"
 _CIRCLE = "2 * 6371000.0 * asin(sqrt(least(1.0, power(sin(radians({d} - {b}) / 2), 2) + cos(radians({b})) * cos(radians({d})) * power(sin(radians({c} - {a}) / 2), 2))))"
 _GRID = "least(65535, greatest(0, round_even(({v} - {lo}) / ({hi} - {lo}) * 65535, 0)))::bigint"
 _LINES = f"""{D.LEGS}, {D.PLACES}, p as (select bpuic, max({{'lon': lon, 'lat': lat}}) as p from places where lon is not null and lat is not null and not (lon = 0 and lat = 0) group by 1),
@@ -318,6 +330,9 @@ SQL = {
     "lnk06b_edge_distances": f"""with s as (select dataset, bpuic as id, min({{'lon': lon, 'lat': lat}}) as p from (select 'at' as dataset, bpuic, lon, lat from dim_at union all select 'ch', bpuic, lon, lat from dim_ch union all select 'de', bpuic, lon, lat from dim_de) where lon between -180 and 180 and lat between -90 and 90 and not (lon = 0 and lat = 0) group by 1, 2),
  nx as (select unnest(['at', 'ch', 'de']) as f, unnest(['ch', 'de', 'at']) as t), e as (select s.dataset, s.id, nx.t as other, p from s join nx on f = s.dataset union select s.dataset, s.id, nx.f, p from nx join s on s.dataset = nx.t where s.id = (select min(id) from s s2 where s2.dataset = nx.t)),
  d as (select e.dataset, e.id, other, min({_CIRCLE.format(a='e.p.lon', b='e.p.lat', c='s.p.lon', d='s.p.lat')}) as m from e join s on s.dataset = other group by 1, 2, 3) select dataset, id as station, other, round(m, 2) as metres from d""",
+    "geo06_routed": f"""with {D.LEGS}, {D.PLACES}, p as (select bpuic, max({{'lon': lon, 'lat': lat}}) as p from places where lon between -180 and 180 and lat between -90 and 90 and not (lon = 0 and lat = 0) group by 1), m as (select avg(p.lat) as lat0 from p),
+ r as (select route_id::bigint as route_id, min({{'f': from_bpuic, 't': to_bpuic}}) as e from legs group by 1), k as (select radians(1) * 6371000.0 as k)
+ select route_id, round(sqrt(pow((b.p.lon - a.p.lon) * k * cos(radians(lat0)), 2) + pow((b.p.lat - a.p.lat) * k, 2)), 1) as metres, null::varchar as reason from r join p a on a.bpuic = e.f join p b on b.bpuic = e.t, m, k""",
     "lnk03_judged": _PAIRS + ", " + _judged_sql("c0", "c1", "j") + " select day, number, journey_a, journey_b, kind, case when kind = 'bridge' then gap end as dur, case when kind = 'bridge' then t_dep end as t_dep from j where kind is not null",
     "lnk04_linked_days": _PAIRS + ", sh as (select station from c0 where station is not null intersect select station from c1), " + _judged_sql("c0", "c1", "j", _UNSEEN) + ", " + _judged_sql("c1", "c0", "k", _UNSEEN)
     + f""", u as (select 'a' as from_side, * from j union all select 'b', * from k) select from_side, day, number, journey_a, journey_b, kind, case when kind = 'bridge' then gap end as dur from u where kind is not null and (kind <> 'bridge' or {_DAY} = day)""",
@@ -337,7 +352,7 @@ SQL = {
  select floor((case when d >= 1800 then 3.0 when d >= 600 then 2 + (d - 600) / 1200 when d >= 180 then 1 + (d - 180) / 420 when d >= 0 then d / 180 end) * 20 + 1e-9)::bigint as step, count(*) as n from d group by 1""",
     "ag20_running": f"""with {D.LEGS}, m as (select ceil(t_dep / 300.0)::bigint * 300 as mark, 1 as d from legs where dur >= 0 union all select ((t_dep + dur) // 300 + 1) * 300, -1 from legs where dur >= 0),
  s as (select mark, sum(d)::bigint as d from m group by 1) select mark, sum(d) over (order by mark)::bigint as trains from s""",
-    "lnk01_crosswalk_pairs": f"""with s as (select *, {_SQUASH} as n, list_distinct(string_split({_SQUASH}, ' ')) as w from (select distinct 'at' as dataset, bpuic as id, name, lon, lat from dim_at union all select distinct 'ch', bpuic, name, lon, lat from dim_ch union all select distinct 'de', bpuic, name, lon, lat from dim_de) where lon between -180 and 180 and lat between -90 and 90 and not (lon = 0 and lat = 0)),
+    "lnk01_crosswalk_pairs": f"""with s as (select *, {_SQUASH} as n, case when len({_TELLING}) > 0 then {_TELLING} else {_WORDS} end as w from (select distinct 'at' as dataset, bpuic as id, name, lon, lat from dim_at union all select distinct 'ch', bpuic, name, lon, lat from dim_ch union all select distinct 'de', bpuic, name, lon, lat from dim_de) where lon between -180 and 180 and lat between -90 and 90 and not (lon = 0 and lat = 0)),
  x as (select a.dataset as a_dataset, a.id as a_id, b.dataset as b_dataset, b.id as b_id, a.n as an, b.n as bn, a.w as aw, b.w as bw, {_CIRCLE.format(a='a.lon', b='a.lat', c='b.lon', d='b.lat')} as d from s a join s b on a.dataset < b.dataset and abs(a.lat - b.lat) < 0.01),
  y as (select *, case when d <= 400 and (len(list_intersect(aw, bw)) = len(aw) or len(list_intersect(aw, bw)) = len(bw) or len(list_intersect(aw, bw)) * 2 >= len(list_distinct(aw || bw))) then 0 when d <= 1000 and an = bn then 1 when d <= 60 then 2 end as rank from x where d <= 1000)
  select a_dataset, a_id, b_dataset, b_id, rank::bigint as rank, round(d, 3) as d from (select *, row_number() over (partition by a_dataset, a_id, b_dataset order by rank, d, b_id) as k from y where rank is not null) where k = 1""",

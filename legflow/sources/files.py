@@ -19,7 +19,7 @@ def text_schema(names: Sequence[str]) -> StructType:
 
 
 def encodings(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """path, encoding of each file: utf-8 if the whole file is, else latin-1. Read where the files are, in pieces of 1 MB."""
+    """path, encoding of each file: utf-8 if the whole file is, else latin-1. A file is one cell of up to 2 GB; larger ones raise."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import codecs
@@ -187,7 +187,7 @@ def latest_per_day(listing: DataFrame) -> DataFrame:
 def push_port(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(schedules, actuals) of files with one XML message a line: a row per location, in the columns of gb_sched and gb_act.
 
-    Namespaces are ignored. A line that is no XML gives no rows.
+    Namespaces are ignored. A line that is no XML gives no rows; unread_lines() counts them.
     """
     lines = spark.read.text(list(paths))
     sched = "ts string, rid string, uid string, train_id string, ssd string, toc string, train_cat string, status string, is_passenger string, deleted string, idx int, kind string, tpl string, act string, pta string, ptd string, wta string, wtd string, wtp string, can string"
@@ -223,6 +223,26 @@ def push_port(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, Dat
     return both.select(F.inline("s")), both.select(F.inline("a"))
 
 
+def unread_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """file, lines, unread: how many lines of each file push_port() cannot read."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xml.etree import ElementTree
+
+        for b in batches:
+            bad = []
+            for line in b["value"]:
+                try:
+                    ElementTree.fromstring(line)
+                    bad.append(0)
+                except ElementTree.ParseError:
+                    bad.append(1)
+            yield pd.DataFrame({"file": b["file"], "bad": bad})
+
+    x = spark.read.text(list(paths)).select("value", F.col("_metadata.file_name").alias("file")).mapInPandas(run, "file string, bad int")
+    return x.groupBy("file").agg(F.count(F.lit(1)).alias("lines"), F.sum("bad").alias("unread"))
+
+
 def _names(ddl: str) -> list[str]:
     return [p.split()[0] for p in ddl.split(", ")]
 
