@@ -459,6 +459,8 @@ def restored(documents: DataFrame, key: str, text: str) -> DataFrame:
     split = cut(rows.select("_id", F.regexp_extract_all("_t", F.lit(r"\S+|\s+"), F.lit(0)).alias("_w")))
     parts = _stretched(split, "_w").select("_id", F.posexplode("_w").alias("pos", "word"))
     fix = g.words.select("word", F.when(F.col("gain") > g.margin, F.col("fixed")).alias("fixed"), (F.col("lost") & ~F.coalesce(F.col("gain") > g.margin, F.lit(False))).alias("gone"))
-    joined = parts.join(fix, "word", "left").select("_id", "pos", F.coalesce("fixed", "word").alias("w"), F.coalesce("gone", F.lit(False)).alias("gone"), F.col("fixed").isNotNull().alias("modelled"))
+    # words in ASCII, blanks above all, are never replaced: they go round the join, whose keys are so without a hot one
+    odd = F.col("word").rlike(r"[^\x00-\x7F]")
+    joined = parts.filter(odd).join(fix, "word", "left").unionByName(parts.filter(~odd), True).select("_id", "pos", F.coalesce("fixed", "word").alias("w"), F.coalesce("gone", F.lit(False)).alias("gone"), F.col("fixed").isNotNull().alias("modelled"))
     out = joined.groupBy("_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda p: p["w"]), "").alias("restored"), (~F.max("gone")).alias("complete"), F.max("modelled").alias("by_model"))
     return rows.join(out, "_id").select(F.col("_k").alias(key), F.col("_t").alias(text), "restored", "complete", "by_model").distinct()
