@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,14 +34,20 @@ WINDOWS_BROADCAST = 2_000_000
 UNITS = frozenset("m km cm mm ft mi kg t g h min s sec ms kmh mph kw kwh mw v kv hz bar l pct percent prozent meter metres meters mètres metri minuten minutes minute minuti minut uhr stunden hours heures ore godzin eur euro chf usd gbp pln".split())
 NUMBER, NAME, UNIT = 1, 2, 3  # word codes of placeholders
 WORD = re.compile(r"\w+")
+MARKS, BEYOND = re.compile("[\u0300-\u034e\u0350-\u036f]+"), re.compile("[^\x00-\u036f]")  # the common combining marks; what may be others
+TEXTS = 1_000  # texts a worker hashes at a time
+REMEMBERED = 1_000_000  # words whose codes a worker keeps
 
 
 def words_of(text: str | None) -> list[str]:
     """Words in lower case, compatibility forms and accents folded, whatever stands between them."""
     if not text:
         return []
-    t = unicodedata.normalize("NFKD", text)
-    t = "".join(c for c in t if not unicodedata.combining(c))
+    if text.isascii():
+        return WORD.findall(text.lower())
+    t = MARKS.sub("", unicodedata.normalize("NFKD", text))
+    if BEYOND.search(t):
+        t = "".join(c for c in t if c < "\u0370" or not unicodedata.combining(c))
     return WORD.findall(t.casefold().replace("ß", "ss"))
 
 
@@ -58,12 +65,26 @@ def _own(word: str) -> int:
     return xxhash.xxh64_intdigest(word) | 16
 
 
-def codes(words: list[str], known: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(template code, own code) of each word. Known words stand for themselves, others are names; digits are numbers."""
-    own = np.fromiter((_own(w) for w in words), dtype=np.uint64, count=len(words))
-    kind = np.fromiter((NUMBER if w[0].isdigit() else 0 if w in known else NAME for w in words), dtype=np.int8, count=len(words))
+class _Remembered(dict):
+    """Own codes by word, worked out once."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = code = _own(word)
+        return code
+
+
+_own_codes = _Remembered()
+
+
+def codes(words: list[str], known: frozenset[str], starts: frozenset[int] = frozenset()) -> tuple[np.ndarray, np.ndarray]:
+    """(template code, own code) of each word. Known words stand for themselves, others are names; digits are numbers.
+    starts: where another text begins, so that its first word is no unit of the last one's number."""
+    own = np.fromiter(map(_own_codes.__getitem__, words), dtype=np.uint64, count=len(words))
+    kind = np.fromiter((0 if w in known and not w[0].isdigit() else NUMBER if w[0].isdigit() else NAME for w in words), dtype=np.int8, count=len(words))
     for i in np.flatnonzero(kind[:-1] == NUMBER):
-        if words[i + 1] in UNITS:
+        if words[i + 1] in UNITS and i + 1 not in starts:
             kind[i + 1] = UNIT
     return np.where(kind == 0, own, kind.astype(np.uint64)), own
 
@@ -92,12 +113,11 @@ def known_words(documents: DataFrame, text: str) -> tuple[frozenset[str], int]:
 
     def per_document(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            n: dict[str, int] = {"": 0}
+            n: Counter[str] = Counter({"": 0})
             for t in b["t"]:
                 w = set(words_of(t))
                 n[""] += bool(w)
-                for x in w:
-                    n[x] = n.get(x, 0) + 1
+                n.update(w)
             yield pd.DataFrame({"word": list(n), "n": list(n.values())})
 
     counts = documents.select(F.col(text).alias("t")).mapInPandas(per_document, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -114,18 +134,20 @@ def _hashes(table: DataFrame, key: str, text: str, known: frozenset[str], wanted
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         k, only = shared.value
-        for b in batches:
-            n, h = [], []
-            for t in b["t"]:
-                w = words_of(t)
-                n.append(len(w))
-                x = windows(*codes(w, k)) if len(w) >= WINDOW else np.zeros(0, dtype=np.int64)
-                if only is not None:
-                    x = np.unique(x)
-                    at = np.searchsorted(only, x)
-                    x = x[(at < len(only)) & (only[np.minimum(at, len(only) - 1)] == x)] if len(only) else x[:0]
-                h.append(x)
-            yield pd.DataFrame({"_key": b["_key"], "_text": b["_text"], "n": n, "h": h})
+        for whole in batches:
+            for first in range(0, len(whole), TEXTS):
+                b = whole.iloc[first : first + TEXTS]
+                ws = [words_of(t) for t in b["t"]]
+                n = np.array([len(w) for w in ws])
+                doc = np.repeat(np.arange(len(b)), n)
+                x = windows(*codes([w for v in ws for w in v], k, frozenset(np.cumsum(n).tolist())))
+                ok = doc[: len(x)] == doc[len(doc) - len(x) :]  # a window lies within one text
+                if only is not None and len(x):
+                    at = np.minimum(np.searchsorted(only, x), max(0, len(only) - 1))
+                    ok &= only[at] == x if len(only) else False
+                x, doc = x[ok], doc[: len(x)][ok]
+                h = np.split(x, np.searchsorted(doc, np.arange(1, len(b))))
+                yield pd.DataFrame({"_key": b["_key"], "_text": b["_text"], "n": n, "h": h if only is None else [np.unique(y) for y in h]})
 
     kind = dict(table.dtypes)[key]
     return table.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_text"), F.col(text).alias("t")).mapInPandas(run, f"_key {kind}, _text long, n int, h array<long>")
