@@ -16,6 +16,7 @@ from legflow.runtime import scratch
 from legflow.sources import files
 from legflow.tables import table
 
+AS_IS = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}  # a CSV writer takes blanks off otherwise
 TRIP = ("trip_id", "service_day", "num", "label")
 
 
@@ -40,8 +41,8 @@ def src01_csv_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two exports of the trips by halves: other order of columns, another column; the lacking one is null."""
     t, at = _trips(spark, sf_dir), scratch(spark, "csv")
     first = F.col("trip_id") < "08"
-    t.filter(first).coalesce(2).write.option("header", True).option("sep", ";").csv(f"{at}/a")
-    t.filter(~first).select("label", F.lit("x").alias("extra"), "trip_id", "service_day").coalesce(2).write.option("header", True).option("sep", ";").csv(f"{at}/b")
+    t.filter(first).coalesce(2).write.options(**AS_IS).option("sep", ";").csv(f"{at}/a")
+    t.filter(~first).select("label", F.lit("x").alias("extra"), "trip_id", "service_day").coalesce(2).write.options(**AS_IS).option("sep", ";").csv(f"{at}/b")
     return files.csv_by_name(spark, _listed(spark, at), TRIP, sep=";").drop("_file").distinct()
 
 
@@ -49,7 +50,7 @@ def src02_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names in two encodings, each file read in its own."""
     s, at = table(spark, sf_dir, "dim_ch").select("bpuic", "name").filter("name IS NOT NULL AND name RLIKE '^[ -~äöüÄÖÜéèêàâïîôçëûùÉÈñÑåÅ]+$'").distinct(), scratch(spark, "enc")
     for e, part in (("UTF-8", F.col("bpuic") % 2 == 0), ("ISO-8859-1", F.col("bpuic") % 2 == 1)):
-        s.filter(part).coalesce(1).write.option("header", True).option("encoding", e).csv(f"{at}/{e}")
+        s.filter(part).coalesce(1).write.options(**AS_IS).option("encoding", e).csv(f"{at}/{e}")
     return files.csv_by_name(spark, _listed(spark, at), ("bpuic", "name")).drop("_file").distinct()
 
 
@@ -57,7 +58,7 @@ def src03_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stop listings as compressed files with the day in their folder's name, as a glob."""
     at = scratch(spark, "snaps")
     x = table(spark, sf_dir, "raw_stops").filter("stop_id RLIKE '^[0-9]+$'").select("snap", "stop_id", F.trim("stop_lat").alias("stop_lat")).filter("stop_lat RLIKE '^[0-9.]+$'").distinct()
-    x.withColumn("day", F.col("snap")).repartition("day").write.partitionBy("day").option("header", True).option("compression", "gzip").csv(f"{at}/d")
+    x.withColumn("day", F.col("snap")).repartition("day").write.partitionBy("day").options(**AS_IS).option("compression", "gzip").csv(f"{at}/d")
     P_ = spark._jvm.org.apache.hadoop.fs.Path
     fs = P_(at).getFileSystem(spark._jsc.hadoopConfiguration())
     for i, f in enumerate(_listed(spark, at)):  # the day goes into the file's name
@@ -69,7 +70,7 @@ def src03_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def src04_gtfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """trips.txt.gz of a timetable export."""
     at = scratch(spark, "gtfs")
-    _trips(spark, sf_dir).coalesce(1).write.option("header", True).option("compression", "gzip").csv(f"{at}/w")
+    _trips(spark, sf_dir).coalesce(1).write.options(**AS_IS).option("compression", "gzip").csv(f"{at}/w")
     P_ = spark._jvm.org.apache.hadoop.fs.Path
     P_(at).getFileSystem(spark._jsc.hadoopConfiguration()).rename(P_(_listed(spark, at)[0]), P_(f"{at}/trips.txt.gz"))
     return files.gtfs(spark, at, "trips", ("trip_id", "label", "num")).drop("_file")
