@@ -163,16 +163,15 @@ def journeys(legs: DataFrame) -> DataFrame:
 
 
 def wire(legs: DataFrame) -> DataFrame:
-    """Legs as they are stored: journey_id for its key, route id and share of it packed into one number. Raises where an id
-    does not fit: a packed route or a journey over WIRE_ID."""
+    """Legs as they are stored: journey_id for its key, route id and share of it packed into one number. Raises where a packed
+    route id is over WIRE_ID; a journey's id is a column by itself and takes any number of journeys a day."""
     whole = (F.col("route_start") == 0) & (F.col("route_end") == 255)
     r = F.col("route_id").cast("bigint")
     packed = F.when(whole, r).otherwise(r.bitwiseOR(F.shiftleft(F.col("route_start").cast("bigint"), 16)).bitwiseOR(F.shiftleft(F.col("route_end").cast("bigint"), 24)))
     flags = F.col("flags").cast("int").bitwiseOR(F.when(whole, 0).otherwise(FRACTION))
-    # a number that does not fit would read back as another route or journey
-    fits = lambda n, ok, what: F.when(ok, n).otherwise(F.raise_error(F.concat(F.lit(f"{what} passes {WIRE_ID}: "), n.cast("string"))))
-    packed = fits(packed, whole | (r <= WIRE_ID), "route_id of a part")
-    j = journeys(legs).select("dep_day", "service_day", "trip_id", fits(F.col("journey_id"), F.col("journey_id") <= WIRE_ID, "journey_id").alias("journey_id"))
+    # a number that does not fit would read back as another route
+    packed = F.when(whole | (r <= WIRE_ID), packed).otherwise(F.raise_error(F.concat(F.lit(f"route_id of a part passes {WIRE_ID}: "), r.cast("string"))))
+    j = journeys(legs).select("dep_day", "service_day", "trip_id", "journey_id")
     x = legs.withColumn("dep_day", departure_day()).join(j, ["dep_day", "service_day", "trip_id"])
     return x.select("dep_day", packed.alias("route_id"), "journey_id", "t_dep", F.col("dur").cast("bigint").alias("dur"), F.col("type_id").cast("bigint").alias("type_id"), F.col("delay").cast("bigint").alias("delay"), flags.cast("bigint").alias("flags"))
 

@@ -66,6 +66,15 @@ def test_wire_round_trip_and_day_files(spark, tmp_path):
     assert got == {("1970-01-01", 0, 5, 0, 255, 0), ("1970-01-02", 0, 65_535, 204, 255, 7), ("1970-01-02", 1, 5, 0, 102, 5)}
 
 
+def test_a_day_of_more_journeys_than_two_bytes_number(spark, tmp_path):
+    n = 65_540
+    cols = {"leg_id": F.col("id"), "service_day": F.lit(D), "trip_id": F.lpad(F.col("id").cast("string"), 6, "0"), "route_id": F.lit(5), "from_bpuic": F.lit(1), "to_bpuic": F.lit(2), "t_dep": F.lit(86_400) + F.col("id"), "dur": F.lit(60), "type_id": F.lit(3), "delay": F.lit(0), "flags": F.lit(0), "route_start": F.lit(0), "route_end": F.lit(255), "line": F.lit(None).cast("string")}
+    legs = spark.range(n).select(*[c.alias(k) for k, c in cols.items()])
+    L.write_days(L.wire(legs), str(tmp_path / "d"))
+    x = spark.read.parquet(str(tmp_path / "d"))
+    assert x.filter(F.col("journey_id") != F.col("t_dep") - 86_400).count() == 0 and x.agg(F.countDistinct("journey_id")).first()[0] == n
+
+
 def test_positions(spark):
     rows = [(1, D, "a", 5, 1, 2, 1000, 100, 0, 0, 0, 0, 255, None), (2, D, "a", 6, 2, 3, 1200, 100, 0, 0, 0, 0, 255, None)]
     legs = spark.createDataFrame(rows, LEG)
