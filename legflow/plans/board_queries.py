@@ -13,6 +13,7 @@ from legflow.operators import legs as L
 from legflow.operators import links as K
 from legflow.operators.spatial import great_circle_m, has_position
 from legflow.plans import feeds as D
+from legflow.runtime import broadcast_checked
 from legflow.tables import table
 
 AT = 1_515_571_200  # 2018-01-10 08:00 UTC
@@ -203,11 +204,14 @@ def _calls(spark: SparkSession, sf_dir: str, flags: int) -> DataFrame:
 
     p = D.places(spark, sf_dir).groupBy("bpuic").agg(F.max("lon").alias("lon"), F.max("lat").alias("lat"))
     # few trains of one number run twice a day here: modulo 400 they meet
-    v = K.visits(D.legs(spark, sf_dir).filter(F.col("flags").bitwiseAND(1) == flags)).withColumn("number", F.pmod(K.train_number(F.col("trip_id")).cast("bigint"), F.lit(400))).filter("number IS NOT NULL")
+    # by journey from the start: repeated rows, order and itineraries then follow from this one shuffle
+    l = table(spark, sf_dir, "fct_legs").filter(F.col("flags").bitwiseAND(1) == flags).repartition("service_day", "trip_id").distinct()
+    v = K.visits(l).withColumn("number", F.pmod(K.train_number(F.col("trip_id")).cast("bigint"), F.lit(400))).filter("number IS NOT NULL")
     key = ["service_day", "trip_id"]
     w = Window.partitionBy(*key).orderBy("t", "side", "station")
     v = v.withColumn("pos", F.row_number().over(w) - 1).withColumn("last", F.count(F.lit(1)).over(Window.partitionBy(*key)) - 1)
-    v = v.join(p, v.station == p.bpuic, "left")
+    small = broadcast_checked(p, 1_000_000)  # three numbers a station; a join by station would shuffle every call
+    v = v.join(p if small is None else small, F.col("station") == F.col("bpuic"), "left")
     return v.select(F.col("service_day").alias("day"), "number", F.col("trip_id").alias("journey"), "pos", "last", "side", F.when(F.pmod("station", F.lit(3)) == 0, F.col("station")).alias("station"), F.lit("XX").alias("country"), "lon", "lat", "t")
 
 
@@ -218,7 +222,7 @@ def lnk03_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lnk04_linked_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _calls(spark, sf_dir, 0), _calls(spark, sf_dir, 1)
-    return K.linked_days(a, b, ("XX", "XX"), (a.select("station"), b.select("station"))).select("from_side", "day", "number", "journey_a", "journey_b", "kind", "dur")
+    return K.linked_days(a, b, ("XX", "XX"), True).select("from_side", "day", "number", "journey_a", "journey_b", "kind", "dur")
 
 
 def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,6 +66,17 @@ def test_wire_round_trip_and_day_files(spark, tmp_path):
     assert got == {("1970-01-01", 0, 5, 0, 255, 0), ("1970-01-02", 0, 65_535, 204, 255, 7), ("1970-01-02", 1, 5, 0, 102, 5)}
 
 
+def test_pairs_of_journeys_meet_in_narrow_ranges_of_time(spark):
+    """Many journeys with one number on one day: only those near in time are put together, not each with each."""
+    c = "day date, number string, journey string, pos int, last int, side string, station long, country string, lon double, lat double, t long"
+    n = 60
+    calls = lambda x, off: spark.createDataFrame([(D, "1", f"{x}{i:03d}", k, 1, ("dep", "arr")[k], None if i % 2 else 10 * i + k, "XX", 7.0 + 0.1 * k + 0.01 * off, 47.0, 6000 * i + 1200 * k + off) for i in range(n) for k in (0, 1)], c)
+    got = K.linked_days(calls("a", 0), calls("b", 60))
+    assert sorted({r.kind for r in got.select("kind").distinct().collect()}) == ["overlap"] and got.count() == n // 2
+    joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
+    assert joins and all("_h" in x for x in joins)
+
+
 def test_a_day_of_more_journeys_than_two_bytes_number(spark, tmp_path):
     n = 65_540
     cols = {"leg_id": F.col("id"), "service_day": F.lit(D), "trip_id": F.lpad(F.col("id").cast("string"), 6, "0"), "route_id": F.lit(5), "from_bpuic": F.lit(1), "to_bpuic": F.lit(2), "t_dep": F.lit(86_400) + F.col("id"), "dur": F.lit(60), "type_id": F.lit(3), "delay": F.lit(0), "flags": F.lit(0), "route_start": F.lit(0), "route_end": F.lit(255), "line": F.lit(None).cast("string")}
